@@ -25,11 +25,16 @@ def finite(value: Column, nan: float = 0.0, high: float = 1e5, low: float = -1e5
     )
 
 
+def normalised(score: Column, total: Column, classes: int) -> Column:
+    """Share of the total; without any score all classes are equally likely."""
+    return F.when(total > 0, score / total).otherwise(F.lit(1.0 / classes))
+
+
 def repair_probabilities(raw: Sequence[Column]) -> list[Column]:
-    """Clean every score, divide by the sum; an empty sum gives the uniform answer."""
+    """Clean every score, then divide by their sum."""
     clean = [finite(p, nan=0.0, high=1.0, low=0.0) for p in raw]
     total = sum(clean[1:], clean[0])
-    return [F.when(total > 0, p / total).otherwise(F.lit(1.0 / len(clean))) for p in clean]
+    return [normalised(p, total, len(clean)) for p in clean]
 
 
 def logistic(margin: Column) -> Column:

@@ -26,15 +26,19 @@ def weights(window: int, degree: int, deriv: int) -> tuple[tuple[float, ...], ..
     return tuple(tuple(float(v) for v in row) for row in rows)
 
 
-def _dot(taps: list[Column], row: tuple[float, ...]) -> Column:
-    terms = [t * F.lit(w) for t, w in zip(taps, row, strict=True)]
-    return sum(terms[1:], terms[0])
+def _numbers(row: tuple[float, ...]) -> list[str]:
+    return [f"({w!r}D)" for w in row]
 
 
-def _edge_dot(taps: Column, table: list[tuple[float, ...]], place: Column) -> Column:
-    rows = F.array(*[F.array(*[F.lit(w) for w in row]) for row in table])
-    products = F.zip_with(taps, F.get(rows, place.cast("int")), lambda x, w: x * w)
-    return F.aggregate(products, F.lit(0.0), lambda acc, v: acc + v)
+def _dot(names: list[str], row: tuple[float, ...]) -> Column:
+    return F.expr(" + ".join(f"`{n}` * {w}" for n, w in zip(names, _numbers(row), strict=True)))
+
+
+def _edge_dot(taps: str, table: tuple[tuple[float, ...], ...], place: str) -> Column:
+    rows = ", ".join(f"array({', '.join(_numbers(row))})" for row in table)
+    return F.expr(
+        f"aggregate(zip_with(`{taps}`, get(array({rows}), cast({place} AS INT)), (x, w) -> x * w), 0D, (a, v) -> a + v)"
+    )
 
 
 def poly_filter(
@@ -69,15 +73,14 @@ def poly_filter(
         t = t.with_columns(edges)
         results = {}
         for col, prefix in outputs.items():
-            taps = [F.col(name) for name in names[col]]
             for d in derivs:
                 table = weights(window, degree, d)
                 short = F.col(col) if d == 0 else F.col(col) * 0
                 results[f"{prefix}_{SUFFIXES[d]}"] = (
                     F.when(n < window, short)
-                    .when(rn < half, _edge_dot(F.col(f"_{prefix}_head"), table[:half], rn))
-                    .when(rn >= n - half, _edge_dot(F.col(f"_{prefix}_tail"), table[half + 1:], rn - (n - half)))
-                    .otherwise(_dot(taps, table[half]))
+                    .when(rn < half, _edge_dot(f"_{prefix}_head", table[:half], RN))
+                    .when(rn >= n - half, _edge_dot(f"_{prefix}_tail", table[half + 1:], f"{RN} - ({LEN} - {half})"))
+                    .otherwise(_dot(names[col], table[half]))
                 )
         t = t.with_columns(results)
         return t.having(t.df.drop(*edges, *[name for group in names.values() for name in group]))

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from helioframe.functions.classify import decide, risk_label
-from helioframe.functions.numeric import finite, logistic, repair_probabilities
+from helioframe.functions.numeric import finite, logistic, normalised
 from helioframe.schema import FEATURES, HORIZONS
 
 NOW = "now"
@@ -77,11 +77,11 @@ def standardize(df: DataFrame, scaler: Scaler, features: Sequence[str] = FEATURE
 
 
 def margins(model: LinearModel, head: Head, prefix: str = "z_") -> list[Column]:
-    out = []
-    for weights, bias in zip(head.coef, head.intercept, strict=True):
-        terms = [F.col(f"{prefix}{f}") * F.lit(float(w)) for f, w in zip(model.features, weights, strict=True)]
-        out.append(sum(terms[1:], terms[0]) + F.lit(float(bias)))
-    return out
+    """One weighted sum per class, as generated code over literals."""
+    return [
+        F.expr(" + ".join([f"`{prefix}{f}` * ({float(w)!r}D)" for f, w in zip(model.features, weights, strict=True)] + [f"({float(bias)!r}D)"]))
+        for weights, bias in zip(head.coef, head.intercept, strict=True)
+    ]
 
 
 def linear_scores(df: DataFrame, model: LinearModel) -> DataFrame:
@@ -96,11 +96,10 @@ def linear_scores(df: DataFrame, model: LinearModel) -> DataFrame:
 
 def probabilities(df: DataFrame, heads: Sequence[str] = HEADS) -> DataFrame:
     """``p_<head>_<class>`` from the raw scores."""
-    out = {}
-    for name in heads:
-        repaired = repair_probabilities([F.col(f"s_{name}_{c}") for c in range(4)])
-        out |= {f"p_{name}_{c}": p for c, p in enumerate(repaired)}
-    return df.withColumns(out).drop(*[f"s_{name}_{c}" for name in heads for c in range(4)])
+    clean = {f"s_{h}_{c}": finite(F.col(f"s_{h}_{c}"), nan=0.0, high=1.0, low=0.0) for h in heads for c in range(4)}
+    total = {f"t_{h}": sum((F.col(f"s_{h}_{c}") for c in (1, 2, 3)), F.col(f"s_{h}_0")) for h in heads}
+    share = {f"p_{h}_{c}": normalised(F.col(f"s_{h}_{c}"), F.col(f"t_{h}"), 4) for h in heads for c in range(4)}
+    return df.withColumns(clean).withColumns(total).withColumns(share).drop(*clean, *total)
 
 
 def _head_decision(name: str) -> Column:
@@ -134,7 +133,8 @@ def score(df: DataFrame, model: LinearModel, digits: int = 4) -> DataFrame:
 
 def horizon_forecast(scored: DataFrame, keys: Sequence[str]) -> DataFrame:
     """One row per input row and look-ahead."""
-    return scored.select(*keys, F.inline("horizons"))
+    # outer: the array is never empty, and no filter on its size is derived and pushed down the plan
+    return scored.select(*keys, F.inline_outer("horizons"))
 
 
 def horizon_map(scored: DataFrame) -> DataFrame:

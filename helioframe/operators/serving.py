@@ -12,16 +12,17 @@ from helioframe.schema import FLUX_CUTS, LONG, SHORT, TIME
 HISTORY_LIMIT, UI_HISTORY_LIMIT, PAGE_ROWS = 80, 150, 10
 
 
-def history_slice(df: DataFrame, idx: int, limit: int = HISTORY_LIMIT) -> DataFrame:
+def history_slice(df: DataFrame, idx: int, limit: int = HISTORY_LIMIT, by: tuple[str, ...] = ()) -> DataFrame:
     """Rows ``idx - limit .. idx``, both included."""
     part = df.filter(F.col("rn").between(max(idx - limit, 0), idx))
     return part.select(
+        *by,
         "rn",
         short_time(F.col(TIME)).alias("time"),
         full_time(F.col(TIME)).alias("fullDate"),
         F.col(LONG).alias("GOES_Long"),
         F.col(SHORT).alias("GOES_Short"),
-    ).orderBy("rn")
+    ).orderBy(*by, "rn")
 
 
 def page(history: DataFrame, number: int, size: int = PAGE_ROWS) -> DataFrame:

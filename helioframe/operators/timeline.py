@@ -101,7 +101,7 @@ class Timeline:
         first = F.greatest(F.col(RN) - ahead, F.lit(0))
         copies = F.sequence(F.floor(first / size), F.floor(last / size))
         # away from a chunk border a row has exactly one home
-        target = F.explode(copies)
+        target = F.explode_outer(copies)
         df = self.df.withColumn("_home", home).withColumn(CHUNK, target)
         df = df.withColumn(OWN, F.col(CHUNK) == F.col("_home")).drop("_home")
         return replace(self, df=df, back=back, ahead=ahead, settled=False)
