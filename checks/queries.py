@@ -30,6 +30,7 @@ from helioframe.plans.telemetry import prequential as prequential_of
 from helioframe.schema import FEATURE_COLUMNS, FEATURES, HORIZONS, LONG, LONG_HORIZONS, RAW_COLUMNS, SHORT, TIME
 from helioframe.session import persist_table, scratch_path
 from helioframe.sources import store
+from helioframe.streaming import jobs, stateful
 from helioframe.sources.feed import parse_time, pick_feed, read_feed, require_rows, split_channels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -610,3 +611,53 @@ def roc_sweep_chunked(spark, sf_dir):
 @query
 def ist_time(spark, sf_dir):
     return b.events(spark, sf_dir).select("event_id", display.local_time(F.col("ts")).cast("timestamp_ntz").alias("local_ts"))
+
+
+# -- streaming -----------------------------------------------------------------------------
+def _streamed(spark: SparkSession, table: DataFrame, job, files: int = 4) -> DataFrame:
+    """Land ``table`` as files in time order, run ``job`` over them until all are read, return its sink."""
+    landing, sink, mark = (scratch_path(spark, k) for k in ("landing", "sink", "mark"))
+    first, last = table.agg(F.unix_seconds(F.min("ts")), F.unix_seconds(F.max("ts"))).first()
+    part = F.least(F.floor((F.unix_seconds("ts") - first) * files / (last - first + 1)), F.lit(files - 1))
+    for k in range(files):   # one fetch after another, so that arrival follows time
+        table.filter(part == k).write.mode("append").parquet(landing)
+    stream = jobs.read_landing(spark, landing, table.schema, files_per_trigger=8)
+    out = job(stream)
+    jobs.to_table(out, sink, mark).awaitTermination()
+    return spark.read.schema(out.schema).parquet(sink)
+
+
+def _flux_rows(spark: SparkSession, sf_dir: str, quiet_end: bool = True) -> DataFrame:
+    """Cleaned long channel, closed by one quiet row per series far behind the end."""
+    rows = b.telemetry(spark, sf_dir).df.select("series", "event_id", F.col(TIME).cast("timestamp").alias("ts"), F.col(LONG).alias("x"))
+    last = rows.groupBy("series").agg((F.max("ts") + F.make_dt_interval(days=F.lit(10))).alias("ts")).select(
+        "series", F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0.0).alias("x"))
+    return rows.unionByName(last) if quiet_end else rows
+
+
+@query
+def stream_events(spark, sf_dir):
+    out = _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_events(s, 1e-4, "1 hour"))
+    clock = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end", "peak_time")}
+    return out.withColumns(clock)
+
+
+@query
+def stream_labels(spark, sf_dir):
+    return _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_labels(s, 240, "1 hour"))
+
+
+@query
+def stream_dedup(spark, sf_dir):
+    """Every record lands twice, as overlapping fetches do."""
+    rows = b.feed(spark, sf_dir).select("series", "energy", F.col("time_tag").cast("timestamp").alias("ts"), "flux")
+    out = _streamed(spark, rows.unionByName(rows), lambda s: jobs.stream_features(s, ["series", "energy"], "ts"))
+    return out.select("series", "energy", F.col("ts").cast("timestamp_ntz").alias("time_tag"), "flux")
+
+
+@query
+def stream_scoring(spark, sf_dir):
+    rows = _stored_features(spark, sf_dir).withColumn("ts", F.col(TIME).cast("timestamp"))
+    model = b.fixed_model(rows)
+    out = _streamed(spark, rows, lambda s: jobs.stream_score(s, model).select("series", "event_id", "y_true", "y_pred", "reward"))
+    return out

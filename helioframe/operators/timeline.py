@@ -30,7 +30,7 @@ RN = "_rn"          # position in the series, from 0
 LEN = "_len"        # length of the series
 CHUNK = "_chunk"    # chunk whose window this row takes part in
 OWN = "_own"        # False on halo copies
-_SLICE, _POS = "_slice", "_pos"
+_SLICE, _POS = "_tl_slice", "_tl_pos"
 HELPERS = (RN, LEN, CHUNK, OWN, _SLICE, _POS)
 
 # monotonically_increasing_id() = partition << 33 | position in the partition
