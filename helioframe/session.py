@@ -10,19 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
-# settings a session should be built with; the first is worth seconds per query, because plans here
-# hold thousands of literals and every column call would record where it was made
+# settings a session should be built with. The first is worth seconds per query, because plans here
+# hold thousands of literals and every column call would record where it was made.
 BUILD_SETTINGS = {
     "spark.python.sql.dataFrameDebugging.enabled": "false",
-    "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
 }
+# settings that may also be changed on a running session
+RUN_SETTINGS = {
+    # all clocks in the data are UTC
+    "spark.sql.session.timeZone": "UTC",
+    # the JVM never compiles a method above 8000 bytes of bytecode: let Spark split such code instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+}
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """All clocks in the data are UTC; pin the session to it."""
-    if spark.conf.get("spark.sql.session.timeZone", None) != "UTC":
-        spark.conf.set("spark.sql.session.timeZone", "UTC")
+    for key, value in RUN_SETTINGS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
     return spark
 
 

@@ -6,13 +6,13 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import pytest
 from pyspark.sql import SparkSession
 
-from helioframe.session import BUILD_SETTINGS
+from helioframe.session import BUILD_SETTINGS, RUN_SETTINGS
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master("local[8]").appName("tests").config(map=BUILD_SETTINGS)
+        SparkSession.builder.master("local[8]").appName("tests").config(map=BUILD_SETTINGS | RUN_SETTINGS)
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
