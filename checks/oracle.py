@@ -90,6 +90,9 @@ pred AS (
     count(*) OVER (PARTITION BY series) AS n
   FROM parts)"""
 
+# half-up at six decimals in whole numbers: a binary quotient can land on either side of a tie
+MEAN_LATENCY = "((hundredths * 20000 + k) // (2 * k)) / 1e6"
+
 LOSS = ("-ln(least(greatest(CASE y_true WHEN 0 THEN p0 WHEN 1 THEN p1 WHEN 2 THEN p2 ELSE p3 END, "
         "2.220446049250313e-16::DOUBLE), 1 - 2.220446049250313e-16::DOUBLE))")
 
@@ -320,7 +323,7 @@ FROM tel WHERE rn BETWEEN 250 AND 400 ORDER BY rn LIMIT 10 OFFSET 30""")
     win = cells(lambda c: f"sum(({c})::INT) OVER ({W} ROWS BETWEEN 299 PRECEDING AND CURRENT ROW)")
     sql["rolling_skill"] = wq(PREDICTIONS + f""", a AS (SELECT series, event_id, rn, least(rn + 1, 300) AS m, {win},
   sum({LOSS}) OVER ({W} ROWS BETWEEN 299 PRECEDING AND CURRENT ROW) AS loss,
-  sum(latency_ms::DECIMAL(18,2)) OVER ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)::DOUBLE AS lat FROM pred)""", f"SELECT series, event_id, {skill('m', 'lat', 'least(rn + 1, 100)', 'loss', 6, 6)} FROM a")
+  sum((latency_ms * 100)::BIGINT) OVER ({W} ROWS BETWEEN 99 PRECEDING AND CURRENT ROW) AS hundredths, least(rn + 1, 100) AS k FROM pred)""", f"SELECT series, event_id, {skill('m', MEAN_LATENCY, '1', 'loss', 6, 6)} FROM a")
     sql["rolling_skill_chunked"] = sql["rolling_skill"]
     sql["tss"] = wq(PREDICTIONS + f", a AS (SELECT series, {cells(lambda c: f'count(*) FILTER (WHERE {c})')} FROM pred GROUP BY series)",
         "SELECT series, round(greatest(0.0, least(1.0, hits / (sup_1 + sup_2 + sup_3)::DOUBLE - (CASE WHEN sup_0 > 0 THEN alarms / sup_0::DOUBLE ELSE 0 END))), 6) AS tss FROM a")
