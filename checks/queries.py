@@ -562,6 +562,7 @@ def qpp_variance(spark, sf_dir):
 @query
 def event_sync(spark, sf_dir):
     tl = b.telemetry(spark, sf_dir)
+    tl = tl.having(persist_table(tl.df, "telemetry"))   # two event lists, each counted and joined
     return instruments.event_sync(runs(tl, LONG, 1e-5), runs(tl, SHORT, 5e-6), BY)
 
 

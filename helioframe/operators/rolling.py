@@ -1,9 +1,13 @@
-"""Trailing row windows."""
+"""Trailing windows: over rows, the default, or over time."""
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helioframe.operators.instruments import time_frame
 from helioframe.operators.timeline import Timeline
 
 
@@ -21,3 +25,16 @@ def rolling_log_std(tl: Timeline, col: str, rows: int = 10, out: str = "log_vola
         frame = t.window().rowsBetween(-(rows - 1), 0)
         return t.with_column(out, F.coalesce(F.stddev_samp(F.log10(col)).over(frame), F.lit(0.0)))
     return tl.bounded(rows - 1, 0, step)
+
+
+def rolling_var_by_time(
+    df: DataFrame, col: str, by: Sequence[str], ts: str, minutes: float = 5, out: str = "long_flux_var_5m",
+) -> DataFrame:
+    """The variance over trailing minutes instead of rows, for series with gaps in time."""
+    return time_frame(df, by, ts, minutes * 60, lambda w: {out: F.coalesce(F.var_samp(col).over(w), F.lit(0.0))})
+
+
+def rolling_log_std_by_time(
+    df: DataFrame, col: str, by: Sequence[str], ts: str, minutes: float = 10, out: str = "log_volatility_10m",
+) -> DataFrame:
+    return time_frame(df, by, ts, minutes * 60, lambda w: {out: F.coalesce(F.stddev_samp(F.log10(col)).over(w), F.lit(0.0))})

@@ -15,7 +15,7 @@ from helioframe.operators.horizon import horizon_peaks
 from helioframe.operators.insights import insight_report
 from helioframe.operators.instruments import event_sync, match_catalog
 from helioframe.operators.kernel import poly_filter
-from helioframe.operators.rolling import rolling_log_std, rolling_var
+from helioframe.operators.rolling import rolling_log_std, rolling_log_std_by_time, rolling_var, rolling_var_by_time
 from helioframe.operators.timeline import build_timeline
 
 LAYOUTS = [{"layout": "whole"}, {"layout": "chunked", "chunk_rows": 4}]
@@ -254,3 +254,13 @@ def test_roc_ties_move_together(spark, layout):
     best = evaluation.roc_sweep(spark.createDataFrame(rows, "p double, t boolean"), "p", "t", **layout).first()
     assert (best["threshold"], best["tp"], best["fp"]) == (0.8, 3, 1)
     assert best["tss"] == pytest.approx(1 - 1 / 3)
+
+
+def test_time_frames_equal_row_frames_without_gaps(spark):
+    rows = series(spark, [1.0 + (i * 7) % 5 for i in range(400)])
+    tl = build_timeline(rows, ["series"], ["timestamp", "id"])
+    for by_rows, by_time in (
+        (rolling_var(tl, "x", 5, out="v").df, rolling_var_by_time(rows, "x", ["series"], "timestamp", 4, "v")),
+        (rolling_log_std(tl, "x", 10, out="v").df, rolling_log_std_by_time(rows, "x", ["series"], "timestamp", 9, "v")),
+    ):
+        assert column(by_time, "v") == pytest.approx(column(by_rows, "v"))
