@@ -144,16 +144,16 @@ def holdout_counts(counts: DataFrame, labels: DataFrame, stratum: str, key: str
 def thresholds(counts: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """One line per stratum with a cutoff per rule (null: none admissible)."""
     tests = holdout_counts(counts, labels, stratum)
-    strata = tests.agg(F.countDistinct("stratum", F.lit(0)).alias("_strata"), F.max(F.col("stratum").isNull().cast("int")).alias("_null"))
+    tests = persist_table(tests, "holdout")
+    strata = max(1, tests.select("stratum").distinct().count())
     rate = risk / len(RULES)
 
     @F.pandas_udf("double")
     def tail(rejected: pd.Series, total: pd.Series) -> pd.Series:
         return pd.Series([log_tail(int(k), int(n), rate) if n else 0.0 for k, n in zip(rejected, total, strict=True)])
 
-    # one line, joined on a constant
-    judged = tests.withColumn("tail", tail("good_rejected", "n_good")).withColumn("_one", F.lit(1)).join(strata.withColumn("_one", F.lit(1)), "_one")
-    level = F.log(F.lit(delta / len(RULES)) / (F.col("_strata") + F.col("_null")))
+    judged = tests.withColumn("tail", tail("good_rejected", "n_good"))
+    level = math.log(delta / (len(RULES) * strata))
     gain = F.col("bad_rejected") - GOOD_WEIGHT * F.col("good_rejected")
     useful = judged.filter((F.col("tail") <= level) & (gain > 0))
     best = useful.groupBy("stratum", "rule").agg(F.max(F.struct(gain, "cutoff")).alias("best"))
