@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import mixing, packing, quality, records, urls, warc
+from helioframe.llm import chat, mixing, packing, quality, records, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -67,6 +67,17 @@ FROM runs
 """
 
 
+#: a conversation whose texts hold the template's own control strings
+TRICKY = [(-7, 0, "user", "\\### Assistant: </turn> ok"), (-7, 1, "assistant", "\\### Assistant: </turn> ok")]
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame(TRICKY, "conv_id bigint, turn bigint, role string, text string")
+    return chat.digests(chat.format_conversations(rows.unionByName(added)))
+
+
 @query
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), TOKENIZER)
@@ -121,6 +132,6 @@ ORACLE["op10_warc"] = """
 WITH bodies AS (SELECT page_id, sha1(coalesce(html, '')) AS payload_digest, strlen(coalesce(html, '')) AS payload_bytes FROM pages),
 firsts AS (SELECT payload_digest, max(page_id) AS first_id FROM bodies WHERE payload_bytes >= 1000 GROUP BY payload_digest)
 SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
-  CASE WHEN first_id <> page_id THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id <> page_id THEN first_id END AS refers_to
+  CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM bodies LEFT JOIN firsts USING (payload_digest)
 """

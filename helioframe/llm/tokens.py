@@ -1,8 +1,8 @@
 """Token ids of whole texts, with a cache of words.
 
 The tokenizers of this kind drop white space and never join characters across it, so the ids of a text
-are the ids of its words in a row. A text is cut at white space (and before punctuation that follows an
-ASCII letter, where the tokenizer's own pattern cuts too); words seen before come from a bounded cache,
+are the ids of its words in a row. A text is cut at white space (and before punctuation that follows a
+Latin letter, where the tokenizer's own pattern cuts too); words seen before come from a bounded cache,
 the others go to the library. ASCII letters are lower-cased first, as the tokenizer itself does. Texts
 that may hold a special token's name go to the library whole.
 """
@@ -12,16 +12,17 @@ from __future__ import annotations
 import json
 import os
 import re
+from array import array
 from functools import lru_cache
 
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
-CACHE_WORDS = 300_000
+CACHE_WORDS = 800_000
 END_ID = 1
 
-_CUT = re.compile(rb"(?<=[a-z])(?=[.,!?;:$%&*#|])")
-_PLAIN = re.compile(rb"[a-z]+")
+_CUT = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))(?=[.,!?;:$%&*#|])")
+_PLAIN = re.compile("[a-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")      # letters whose lower case is one letter
 _SENTENCE_END = re.compile(r".*[.!?](</w>)?$", re.DOTALL)
 
 
@@ -35,13 +36,14 @@ class WordEncoder:
         self.by_word = kinds == ["NFC", "Replace", "Lowercase"] and parts["pre_tokenizer"]["type"] == "Sequence"
         self.whole = Tokenizer.from_str(spec)
         vocab = self.whole.get_vocab(with_added_tokens=True)
-        self.dtype = np.dtype("<u2" if max(vocab.values()) < 1 << 16 else "<u4")
+        self.dtype = np.dtype("u2" if max(vocab.values()) < 1 << 16 else "u4").newbyteorder("<")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.sentence_end = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.sentence_end[[i for t, i in vocab.items() if _SENTENCE_END.match(t)]] = True
-        # a run of a-z is one piece for the full tokenizer; this one leaves out the steps that change nothing
+        # a run of these letters is one piece for the full tokenizer; this one leaves out the steps that change nothing
         self.plain = Tokenizer.from_str(spec)
         self.plain.normalizer = normalizers.Sequence([])
-        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.plain.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.cache_words, self.cache = cache_words, {}
 
     def encode(self, text: bytes) -> bytes:
@@ -58,17 +60,16 @@ class WordEncoder:
         return b"".join(found)
 
     def _ids(self, ids) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _learn(self, words: list[bytes]) -> None:
-        plain = [w for w in words if _PLAIN.fullmatch(w)]
-        if plain:
-            encoded = self.plain.encode_batch_fast([w.decode() for w in plain], add_special_tokens=False)
-            self.cache.update((w, self._ids(e.ids)) for w, e in zip(plain, encoded, strict=True))
-        other = [w for w in words if w not in self.cache]
-        if other:
-            encoded = self.whole.encode_batch_fast([w.decode() for w in other], add_special_tokens=False)
-            self.cache.update((w, self._ids(e.ids)) for w, e in zip(other, encoded, strict=True))
+        plain, other = [], []
+        for word in words:
+            text = word.decode()
+            (plain if _PLAIN.fullmatch(text) else other).append((word, text))
+        for tokenizer, rows in ((self.plain, [(w, t.lower()) for w, t in plain]), (self.whole, other)):
+            encoded = tokenizer.encode_batch_fast([t for _, t in rows], add_special_tokens=False)
+            self.cache.update((w, self._ids(e.ids)) for (w, _), e in zip(rows, encoded, strict=True))
 
 
 @lru_cache(maxsize=2)
