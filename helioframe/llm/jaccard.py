@@ -15,7 +15,8 @@ distances d(x, p) of all members to the pivot p, members within 1/5 are linked t
 all belong to one component is done; of the largest component only members stay for which |d(x, p) - d(y, p)| <=
 1/5 for some y outside (the triangle window). The pivot leaves, the next one is a member outside the largest
 component, and so on until the region is small or done. A group of near copies takes one or two rounds with one
-comparison per member, however large it is.
+comparison per member, however large it is. A region whose members are far from each other gains nothing from
+pivots: from the fourth round on larger regions, too, are joined directly.
 
 Equal sets are one node throughout, known by a 64-bit fingerprint of the set (two of 10^8 different sets agree
 with probability 3 in 10^4).
@@ -39,7 +40,7 @@ FREQUENT = 32              # sets that share a shingle from which it counts as f
 FREQUENT_LIMIT = 1 << 20   # most frequent shingles moved to the end of the order: 8 MB sent to each task
 REACH = 1.5                # how far beyond its first shingles a document is looked at for frequent ones
 LEAF = 32
-WIDE_LEAF, WIDE_AFTER = 256, 3     # regions whose members are all far apart stop being split after so many rounds
+WIDE_LEAF, WIDE_AFTER = 256, 3     # after so many rounds larger regions count as small, each round 4 times larger
 
 
 def first_count(n: int) -> int:
@@ -216,7 +217,7 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
     turn = 0
     while True:
         sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-        limit = LEAF if turn < WIDE_AFTER else WIDE_LEAF
+        limit = LEAF if turn < WIDE_AFTER else WIDE_LEAF * 4 ** (turn - WIDE_AFTER)
         if turn:
             part = active.join(sizes.filter(F.col("size") <= limit), "h", "left_semi").select("h", "node", "n")
             small = part if small is None else small.union(part)
