@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helioframe.llm import packing, quality
+from helioframe.llm import jaccard, mixing, packing, quality
 from helioframe.llm.queries import TOKENIZER, table
 from helioframe.session import persist_table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,12 +19,24 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep(docs, table(spark, sf_dir, "labels"))
 
 
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id."""
+    return jaccard.one_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mix: documents as often as it takes them; the few that a block border cuts keep the words taken."""
+    mixed = mixing.mix_documents(docs)
+    return mixed.withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences with their ids."""
     return packing.pack(docs, TOKENIZER)
 
 
-STAGES: list[tuple[str, Stage]] = [("quality_rules", quality_rules), ("packing", pack)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", quality_rules), ("jaccard_join", one_of_each_group), ("source_mix", mix_sources), ("packing", pack)]
 
 #: token ids have no SQL form; the stages are tested against brute-force versions
 ORACLE_SQL = None

@@ -244,20 +244,14 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
         active = persist_table(kept.select("h", "node", "n", "outside"), "large-regions")
 
 
-def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row.
-
-    Null, empty and blank texts have no shingle and no link. Rows with equal ids are rows of their own; a null id
-    is passed over in the minimum, and a component of null ids has a null id. Very long texts are sets like others.
-    Other columns are not read; an empty table gives no rows.
-    """
+def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Fingerprints of all rows (doc_id, n_shingles, node), stored, and per node its smallest doc_id (``owner``) and component."""
     ready(docs.sparkSession)
     prints = persist_table(fingerprints(docs, key, text), "fingerprints")
     heads = persist_table(postings(docs, frequent_shingles(docs, key, text), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
-    crowded = large.groupBy("node").agg(F.count(F.lit(1)).alias("elsewhere"))
-    crowded = persist_table(crowded, "crowded")
+    crowded = persist_table(large.groupBy("node").agg(F.count(F.lit(1)).alias("elsewhere")), "crowded")
     pairs = persist_table(small_region_pairs(small, crowded), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
@@ -267,9 +261,52 @@ def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
         pairs = pairs.union(small_region_pairs(left, crowded)).distinct()
     found = distances(pairs, sets).filter(NEAR).select("a", "b")
     linked = components(found if edges is None else edges.union(found))
+    return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def jaccard_join(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, n_shingles, component_id (smallest doc_id reachable by links, itself included) of every row.
 
-    own = owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    Null, empty and blank texts have no shingle and no link. Rows with equal ids are rows of their own; a null id
+    is passed over in the minimum, and a component of null ids has a null id. Very long texts are sets like others.
+    Other columns are not read; an empty table gives no rows.
+    """
+    prints, own = classes(docs, key, text)
     smallest = own.groupBy("label").agg(F.min("owner").alias("component_id"))
     named = own.join(smallest, "label").select("node", "component_id")
     rows = prints.join(named, "node", "left")
     return rows.select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents with all their columns, one of each component: that with the smallest id.
+
+    Of several rows with this id and an equal set one stays; rows without a shingle all stay. What goes is a table of
+    ids and fingerprints; the documents are joined to it once.
+    """
+    prints, own = classes(docs, key, text)
+    own = persist_table(own, "classes")
+    chosen = own.groupBy("label").agg(F.min(F.struct(F.col("owner").isNull().alias("last"), "owner", "node"))["node"].alias("chosen"))
+    staying = own.join(chosen, F.col("node") == F.col("chosen"), "left_semi").select(F.col("node").alias("_node"), "owner")
+    rows = prints.filter("n_shingles > 0")
+    stays = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("owner"))
+    gone = persist_table(rows.join(staying, stays, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone")).distinct(), "gone")
+    repeated = persist_table(rows.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("node").alias("_twice")), "repeated")
+
+    names = [f"_d_{c}" for c in docs.columns]
+    place = docs.columns.index(text)
+    schema = ", ".join([*[f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)], "_node bigint"])
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [s for run in slices(batch.column(place).cast(pa.binary())) for s in sets_of(run)]
+            nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
+            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*names, "_node"])
+
+    marked = docs.mapInArrow(step, schema)
+    kept = marked.join(gone, F.col(f"_d_{key}").cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_node") == F.col("_gone")), "left_anti")
+    if not repeated.isEmpty():
+        same = F.col(f"_d_{key}").cast("bigint").eqNullSafe(F.col("_twice_id")) & (F.col("_node") == F.col("_twice"))
+        once = kept.join(repeated, same, "left_semi").dropDuplicates([f"_d_{key}", "_node"])
+        kept = kept.join(repeated, same, "left_anti").union(once)
+    return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

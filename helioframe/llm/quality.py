@@ -176,17 +176,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key
     repeated keys are judged row by row; the lowest label of a key counts; a null stratum is one of its own;
     empty tables give empty results.
     """
-    counts = persist_table(base_counts(docs), "quality")
+    counts = persist_table(base_counts(_needed(docs, key, stratum)), "quality")
     return judge(counts, thresholds(counts, labels, stratum), stratum)
 
 
+def _needed(docs: DataFrame, key: str, stratum: str, text: str = "text") -> DataFrame:
+    return docs.select(*[F.col(f"`{c}`") for c in dict.fromkeys((key, stratum))], F.col(f"`{text}`").alias("text"))
+
+
 def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that stay, whole and with all their columns.
 
     The counts are taken again next to the texts rather than joined to them: cutoffs are one line per stratum,
     so the texts are read twice but never shuffled.
     """
-    cuts = persist_table(thresholds(persist_table(base_counts(docs), "quality"), labels, stratum, risk=RISK), "cutoffs")
+    cuts = persist_table(thresholds(persist_table(base_counts(_needed(docs, key, stratum, text)), "quality"), labels, stratum), "cutoffs")
     names = [f"_q_{c}" for c in docs.columns]
     with_text = base_counts(docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.col(f"`{text}`").alias("_body")), "_body")
     judged = judge(with_text, cuts, f"_q_{stratum}").filter("kept")

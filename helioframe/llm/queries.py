@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, jaccard, licenses, mixing, packing, quality, records, urls, warc
+from helioframe.llm import chat, embeddings, jaccard, licenses, mixing, packing, quality, records, urls, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -119,6 +119,11 @@ SELECT page_id, host, path, CASE WHEN best.rule IS NOT NULL THEN best.rule END A
 """
 
 
+@query
+def op7_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op8_binary_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     index = records.write_records(table(spark, sf_dir, "documents"), TOKENIZER)
