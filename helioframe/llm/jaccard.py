@@ -7,14 +7,15 @@ First level. The pivots are single shingles. A document's distance to {s} is 1 -
 not, so its nearest pivots are its own shingles; ties follow one global order, the shingles that many documents
 share last, then the hash. Two sets of n and m shingles that are near share at least 4 (n + m) / 9, hence one
 of the first n - ceil(4 n / 5) + 1 of each: every document is replicated into that many regions and no other.
-Shingles that one set alone holds make no region.
-
-Small regions (up to ``LEAF`` sets) are joined directly: pairs whose sizes allow it and that meet in as many
-regions as near sets must are compared exactly. Larger regions are split around a document: with the exact
-distances d(x, p) of all members to the pivot p, members within 1/5 are linked to it; a region whose members
-all belong to one component is done; of the largest component only members stay for which |d(x, p) - d(y, p)| <=
-1/5 for some y outside (the triangle window). The pivot leaves, the next one is a member outside the largest
-component, and so on until the region is small or done. A group of near copies takes one or two rounds with one
+The first shingle that two near sets have in common lies, in the smaller set, among its first n / 9 + 1: what
+follows could not suffice otherwise. A region where no set holds the pivot that early is dropped, and so are the
+later holders smaller than every early one. Of regions with the same sets the first in the order is kept.
+
+Small regions (up to ``LEAF`` sets) are joined directly: pairs whose sizes and places of the pivot allow it are
+compared exactly. Larger regions are split around a document: with the exact
+distances d(x, p) of all members to the pivot p, members within 1/5 are linked to it and take its label; a region whose members
+all have one label is done; of the most frequent label only members stay for which |d(x, p) - d(y, p)| <=
+1/5 for some y outside (the triangle window). The pivot leaves, the next one is a member with another label, and so on until the region is small or done. A group of near copies takes one or two rounds with one
 comparison per member, however large it is. A region whose members are far from each other gains nothing from
 pivots: from the fourth round on larger regions, too, are joined directly.
 
@@ -140,12 +141,20 @@ def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
 
 
 def shared_regions(heads: DataFrame) -> DataFrame:
-    """h, node, n of the regions with two sets or more, and how many sets (``size``)."""
-    rows = heads.select(F.explode("heads").alias("h"), "node", "n")
-    both = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high")).filter("low <> high").select("h")
-    kept = persist_table(rows.join(persist_table(both, "shared"), "h").distinct(), "regions")
-    sizes = kept.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-    return kept.join(sizes, "h")
+    """h, node, n, at (place of h in the set's order) and size of the regions where near sets can meet first."""
+    rows = heads.select(F.posexplode("heads").alias("at", "h"), "node", "n")
+    early = F.when(9 * F.col("at") <= F.col("n"), F.col("n"))
+    both = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(early).alias("least"))
+    both = both.filter("low <> high and least is not null").select("h", "least")
+    kept = rows.join(persist_table(both, "shared"), "h").filter("9 * at <= n or n >= least")
+    kept = persist_table(kept.select("h", "node", "n", "at").distinct(), "regions")
+    # the same sets in the same order of pivots: the region with the smaller places comes first
+    alike = kept.groupBy("h").agg(
+        F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
+        F.sum("at").alias("place")).filter("size > 1")
+    first = alike.groupBy("size", "x", "y").agg(F.min("place").alias("place"))
+    one = alike.join(first, ["size", "x", "y", "place"]).select("h", "size")
+    return kept.join(one, "h")
 
 
 def sets_for(docs: DataFrame, needed: DataFrame, owners: DataFrame, key: str, text: str) -> DataFrame:
@@ -188,38 +197,26 @@ NEAR = "9 * shared >= 4 * (n + m)"
 TAU = 0.2 + 1e-9
 
 
-def small_region_pairs(rows: DataFrame, crowded: DataFrame) -> DataFrame:
-    """a < b that meet in enough regions to be near.
-
-    Near sets share ``4 (n + m) / 9`` shingles; beyond the first ones they can share at most what the larger rest
-    has. ``crowded`` tells in how many larger regions a node lies, where it may meet others without being seen here.
-    """
-    rows = rows.join(crowded, "node", "left").select("h", "node", "n", F.coalesce("elsewhere", F.lit(0)).alias("elsewhere"))
-    members = rows.groupBy("h").agg(F.collect_list(F.struct("node", "n", "elsewhere")).alias("all"))     # at most LEAF or WIDE_LEAF
-    left = members.select("h", F.explode("all").alias("x"), "all")
-    fits = F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (5 * F.least(y["n"], F.col("x.n")) >= 4 * F.greatest(y["n"], F.col("x.n"))))
-    pairs = left.select("x", F.explode(fits).alias("y"))
-    met = pairs.groupBy(F.col("x.node").alias("a"), F.col("y.node").alias("b"), F.col("x.n").alias("n"), F.col("y.n").alias("m")).agg(
-        F.count(F.lit(1)).alias("met"), F.max(F.least("x.elsewhere", "y.elsewhere")).alias("unseen"))
-    most = F.greatest(F.expr("(4 * n + 4) div 5"), F.expr("(4 * m + 4) div 5")) - 1     # shingles beyond the first ones
-    return met.filter(9 * (F.col("met") + F.col("unseen") + most) >= 4 * (F.col("n") + F.col("m"))).select("a", "b")
+def small_region_pairs(rows: DataFrame) -> DataFrame:
+    """a < b that can have their first common shingle here: what follows it in both sets has to suffice."""
+    members = rows.groupBy("h").agg(F.collect_list(F.struct("node", "n", "at")).alias("all"))     # at most LEAF or WIDE_LEAF
+    left = members.select(F.explode("all").alias("x"), "all")
+    fits = F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (
+        9 * F.least(y["n"] - y["at"], F.col("x.n") - F.col("x.at")) >= 4 * (y["n"] + F.col("x.n"))))
+    return left.select("x", F.explode(fits).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
 
 
 def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Edges found around pivots, and the rows left to be joined as small regions."""
-    # regions of the same sets give the same pairs: one of them is enough
-    alike = rows.groupBy("h").agg(F.count(F.lit(1)).alias("size"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"))
-    one = alike.groupBy("size", "sum").agg(F.min("h").alias("h")).select("h")
-    active = persist_table(rows.select("h", "node", "n").join(one, "h").withColumn("outside", F.lit(True)), "large-regions")
+    active = persist_table(rows.select("h", "node", "n", "at").withColumns({"label": F.col("node"), "outside": F.lit(True)}), "large-regions")
     edges: DataFrame | None = None
     small: DataFrame | None = None
-    known: DataFrame | None = None
     turn = 0
     while True:
         sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
         limit = LEAF if turn < WIDE_AFTER else WIDE_LEAF * 4 ** (turn - WIDE_AFTER)
         if turn:
-            part = active.join(sizes.filter(F.col("size") <= limit), "h", "left_semi").select("h", "node", "n")
+            part = active.join(sizes.filter(F.col("size") <= limit), "h", "left_semi").select("h", "node", "n", "at")
             small = part if small is None else small.union(part)
             active = persist_table(active.join(sizes.filter(F.col("size") > limit), "h", "left_semi"), "large-regions")
         if active.isEmpty():
@@ -231,17 +228,19 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
         measured = persist_table(distances(pairs, sets), "distances")
         found = measured.filter(NEAR).select("a", "b")
         edges = found if edges is None else edges.union(found)
-        known = components(edges)
-        d = measured.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("d"))
-        rest = met.join(d, ["node", "pivot"]).join(known, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        rest = persist_table(rest.select("h", "node", "n", "label", "d"), "measured-regions")
+        d = measured.select(
+            F.col("a").alias("node"), F.col("b").alias("pivot"), F.expr(NEAR).alias("near"),
+            (1 - F.col("shared") / (F.col("n") + F.col("m") - F.col("shared"))).alias("d"))
+        # equal labels mean linked, directly or through a pivot that has left
+        rest = met.join(d, ["node", "pivot"]).withColumn("label", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("label")))
+        rest = persist_table(rest.select("h", "node", "n", "at", "label", "d"), "measured-regions")
         by_label = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("low"), F.max("d").alias("high"))
-        largest = by_label.groupBy("h").agg(F.max(F.struct("members", "label"))["label"].alias("main"), F.count(F.lit(1)).alias("labels"))
+        largest = by_label.groupBy("h").agg(F.max_by("label", "members").alias("main"))
         window = by_label.join(largest, "h").filter(F.col("label") != F.col("main")).groupBy("h", "main").agg(
             F.min("low").alias("low"), F.max("high").alias("high"))
         kept = rest.join(window, "h").withColumn("outside", F.col("label") != F.col("main"))
         kept = kept.filter(F.col("outside") | F.col("d").between(F.col("low") - TAU, F.col("high") + TAU))
-        active = persist_table(kept.select("h", "node", "n", "outside"), "large-regions")
+        active = persist_table(kept.select("h", "node", "n", "at", "label", "outside"), "large-regions")
 
 
 def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
@@ -251,14 +250,13 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     heads = persist_table(postings(docs, frequent_shingles(docs, key, text), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
-    crowded = persist_table(large.groupBy("node").agg(F.count(F.lit(1)).alias("elsewhere")), "crowded")
-    pairs = persist_table(small_region_pairs(small, crowded), "pairs")
+    pairs = persist_table(small_region_pairs(small), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     sets = persist_table(sets_for(docs, nodes, owners, key, text), "sets")
     edges, left = join_large_regions(large, sets)
     if left is not None:
-        pairs = pairs.union(small_region_pairs(left, crowded)).distinct()
+        pairs = pairs.union(small_region_pairs(left)).distinct()
     found = distances(pairs, sets).filter(NEAR).select("a", "b")
     linked = components(found if edges is None else edges.union(found))
     return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
