@@ -35,4 +35,5 @@ def flare_events(tl: Timeline, col: str = LONG, threshold: float = FLUX_CUTS[0],
 
 
 def latest(events: DataFrame, k: int = 6) -> DataFrame:
-    return events.orderBy(F.desc("start")).limit(k)
+    """The newest events; of those that start together, by the other columns in their order."""
+    return events.orderBy(F.desc("start"), *[c for c in events.columns if c != "start"]).limit(k)

@@ -67,9 +67,9 @@ def horizon_peaks(
         return t.with_columns(results).pipe(_without, have, extra)
 
     # head rows read up to 2n - 2 rows on, all of them inside the first chunk and its halo
-    if strict_reference and tl.chunked and tl.chunk_rows < widest:
+    if strict_reference and tl.chunk_rows < widest:
         raise ValueError(f"chunk_rows must be at least the widest horizon ({widest})")
-    return tl.bounded(0, widest, step)
+    return tl.bounded(0, widest, step, [col], [f"{prefix}_{h}" for h in steps])
 
 
 def have_col(have: dict[int, str], size: int) -> Column:

@@ -24,11 +24,12 @@ def time_frame(df: DataFrame, by: Sequence[str], ts: str, seconds: float, build)
     """Columns over the trailing ``seconds`` of time, ``build(window) -> {name: column}``.
 
     Series are cut into time buckets of many frames; a row within one frame of the next bucket is
-    copied there, so no task needs a whole series.
+    copied there, so no task needs a whole series. A NULL time has no place in a frame and raises.
     """
+    known = F.coalesce(F.col(ts), F.raise_error(F.lit(f"time column {ts} is NULL")))
     frame = int(seconds * 1_000_000)
     width = frame * FRAMES_PER_BUCKET
-    at = micros(F.col(ts))
+    at = micros(known)
     home = F.floor(F.col("_us") / width)
     copies = F.sequence(home, F.floor((F.col("_us") + frame) / width))
     spread = df.withColumn("_us", at).withColumn("_home", home).withColumn("_bucket", F.explode(copies))

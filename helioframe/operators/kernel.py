@@ -85,4 +85,5 @@ def poly_filter(
         t = t.with_columns(results)
         return t.having(t.df.drop(*edges, *[name for group in names.values() for name in group]))
 
-    return tl.bounded(window - 1, window - 1, step)
+    written = [f"{prefix}_{SUFFIXES[d]}" for prefix in outputs.values() for d in derivs]
+    return tl.bounded(window - 1, window - 1, step, list(outputs), written)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
@@ -70,7 +71,8 @@ def _one_vs_rest(rows: DataFrame, max_iter: int) -> Head:
         fitted = base.fit(rows.withColumn("target", F.when(F.col("label") == c, 1.0).otherwise(0.0)))
         coef.append(tuple(float(v) for v in fitted.coefficients))
         # with a single class MLlib reports an infinite intercept
-        intercept.append(max(-50.0, min(50.0, float(fitted.intercept))))
+        b = float(fitted.intercept)
+        intercept.append(math.copysign(50.0, b) if math.isinf(b) else b)
     return Head(tuple(coef), tuple(intercept))
 
 

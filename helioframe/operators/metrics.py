@@ -137,7 +137,8 @@ def rolling_skill(
         t = t.with_columns(_report(F.col("_n"), F.col("_lat_n"), digits, latency_digits))
         return t.having(t.df.drop("_n", *names, *[f"_{k}_{n}" for k in ("sum", "old") for n in names]))
 
-    return tl.bounded(max(rows, latency_rows), 0, step)
+    written = list(_report(F.lit(1), F.lit(1), digits, latency_digits))
+    return tl.bounded(max(rows, latency_rows), 0, step, tl.df.columns, written)
 
 
 def cumulative_reward(tl: Timeline) -> Timeline:

@@ -16,7 +16,7 @@ def rolling_var(tl: Timeline, col: str, rows: int = 5, out: str = "long_flux_var
     def step(t: Timeline) -> Timeline:
         frame = t.window().rowsBetween(-(rows - 1), 0)
         return t.with_column(out, F.coalesce(F.var_samp(col).over(frame), F.lit(0.0)))
-    return tl.bounded(rows - 1, 0, step)
+    return tl.bounded(rows - 1, 0, step, [col], [out])
 
 
 def rolling_log_std(tl: Timeline, col: str, rows: int = 10, out: str = "log_volatility_10m") -> Timeline:
@@ -24,7 +24,7 @@ def rolling_log_std(tl: Timeline, col: str, rows: int = 10, out: str = "log_vola
     def step(t: Timeline) -> Timeline:
         frame = t.window().rowsBetween(-(rows - 1), 0)
         return t.with_column(out, F.coalesce(F.stddev_samp(F.log10(col)).over(frame), F.lit(0.0)))
-    return tl.bounded(rows - 1, 0, step)
+    return tl.bounded(rows - 1, 0, step, [col], [out])
 
 
 def rolling_var_by_time(

@@ -10,13 +10,15 @@ hold most of the data. A plain ``Window.partitionBy(series)`` would put it into
   Bounded frames then read their neighbours from halo copies (``spread``), unbounded ones from a
   per-chunk carry table (``carry``).
 
-Both layouts give the same answer for every operator; ``layout=`` forces one of them.
+Both layouts give the same answer for every operator; ``layout=`` forces one of them. A column computed under
+a halo is itself exact only so far into it: the timeline records how many rows each such column has used up, in
+both layouts, and an operator that would read beyond raises in both.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -48,16 +50,25 @@ class Timeline:
     back: int = 0
     ahead: int = 0
     settled: bool = False
+    declared: bool = False      # inside spread() .. collapse()
+    used: dict[str, tuple[int, int]] = field(default_factory=dict)
 
     # -- shape ---------------------------------------------------------------
     def having(self, df: DataFrame) -> Timeline:
         return replace(self, df=df, settled=False)
 
     def with_column(self, name: str, column: Column) -> Timeline:
-        return self.having(self.df.withColumn(name, column))
+        return self.with_columns({name: column})
 
     def with_columns(self, columns: dict[str, Column]) -> Timeline:
-        return self.having(self.df.withColumns(columns))
+        """Columns whose expressions may read any column: under a halo they count as the most used one."""
+        out = self.having(self.df.withColumns(columns))
+        return replace(out, used=self.used | dict.fromkeys(columns, self.consumed())) if self.used else out
+
+    def consumed(self, cols: Sequence[str] | None = None) -> tuple[int, int]:
+        """Halo rows behind and ahead that the given columns (default: any) have used up."""
+        rows = list(self.used.values()) if cols is None else [self.used.get(c, (0, 0)) for c in cols]
+        return max((r[0] for r in rows), default=0), max((r[1] for r in rows), default=0)
 
     def pipe(self, step: Callable[..., Timeline], *args, **kwargs) -> Timeline:
         return step(self, *args, **kwargs)
@@ -87,14 +98,15 @@ class Timeline:
     def spread(self, back: int, ahead: int) -> Timeline:
         """Give every chunk the ``back`` rows before it and the ``ahead`` rows after it.
 
-        No-op for whole-series windows or when the halo is already wide enough, so a pipeline
-        spreads once and runs many bounded operators on the same shuffle. Columns computed
-        under a halo are exact on owned rows only: frames must read columns from before it.
+        A pipeline spreads once and runs many bounded operators on the same shuffle, up to ``collapse``. Whole
+        series need no copies, but keep to the declared width all the same.
         """
-        if not self.chunked or (self.back >= back and self.ahead >= ahead):
-            return self
-        if OWN in self.df.columns:
-            raise ValueError(f"halo is {self.back}/{self.ahead} rows; spread wider at the start")
+        if self.declared:
+            if self.back >= back and self.ahead >= ahead:
+                return self
+            raise ValueError(f"halo is {self.back}/{self.ahead} rows, {back}/{ahead} are needed; spread wider at the start")
+        if not self.chunked:
+            return replace(self, back=back, ahead=ahead, declared=True)
         size = F.lit(self.chunk_rows)
         home = chunk_of(self.chunk_rows)
         last = F.least(F.col(RN) + back, F.col(LEN) - 1)
@@ -104,19 +116,24 @@ class Timeline:
         target = F.explode_outer(copies)
         df = self.df.withColumn("_home", home).withColumn(CHUNK, target)
         df = df.withColumn(OWN, F.col(CHUNK) == F.col("_home")).drop("_home")
-        return replace(self, df=df, back=back, ahead=ahead, settled=False)
+        return replace(self, df=df, back=back, ahead=ahead, settled=False, declared=True)
 
     def collapse(self) -> Timeline:
         """Drop the halo copies."""
+        bare = replace(self, back=0, ahead=0, declared=False, used={})
         if OWN not in self.df.columns:
-            return self
-        return replace(self, df=self.df.filter(OWN).drop(OWN), back=0, ahead=0, settled=False)
+            return bare
+        return replace(bare, df=self.df.filter(OWN).drop(OWN), settled=False)
 
-    def bounded(self, back: int, ahead: int, step: Callable[[Timeline], Timeline]) -> Timeline:
-        """Run ``step`` under a halo; keeps an enclosing halo if there is one."""
-        wide = self.spread(back, ahead)
-        out = step(wide)
-        return out if wide is self else out.collapse()
+    def bounded(
+        self, back: int, ahead: int, step: Callable[[Timeline], Timeline], reads: Sequence[str], writes: Sequence[str],
+    ) -> Timeline:
+        """Run ``step``, which reads that many rows of ``reads``, under a halo; keeps an enclosing halo if there is one."""
+        before = self.consumed(reads)
+        need = before[0] + back, before[1] + ahead
+        wide = self.spread(*need)
+        out = replace(step(replace(wide, used={})), used=self.used | dict.fromkeys(writes, need))
+        return out if self.declared else out.collapse()
 
     # -- unbounded frames ------------------------------------------------------
     def settled_now(self) -> Timeline:

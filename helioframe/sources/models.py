@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,8 +42,12 @@ def load_model(spark: SparkSession, path: str) -> LinearModel | None:
         meta = spark.read.json(f"{path}/config").first()
         coefs = spark.read.parquet(f"{path}/coefficients").collect()   # a few hundred lines
         stats = spark.read.parquet(f"{path}/scaler").collect()
-    except AnalysisException:
+        return _model(meta, coefs, stats)
+    except (PySparkException, Py4JJavaError, KeyError, TypeError, ValueError):
         return None
+
+
+def _model(meta, coefs, stats) -> LinearModel:
     features = tuple(meta["feature_cols"])
     weight = {(r["head"], r["class"], r["feature"]): r["weight"] for r in coefs}
     classes = sorted({c for _, c, _ in weight})

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -57,29 +57,33 @@ def for_each_batch(df: DataFrame, step: Callable[[DataFrame, int], None], checkp
 def refresh_step(store: str, features: str, by: Sequence[str], tie: str) -> Callable[[DataFrame, int], None]:
     """Batch step of the periodic refresh: keep new records, rebuild the features of their series.
 
-    ``store`` is a Parquet table of feed records partitioned by series. A batch writes its own
-    ``batch=`` folder, so a retried batch replaces itself; repeated records are dropped on reading.
-    Only the series of the batch are rebuilt (dynamic partition overwrite).
+    A batch writes its own ``batch=`` folder of ``store``, so a retried batch replaces itself. Of records
+    fetched more than once the newest fetch counts; within one fetch the largest record, so that reruns agree.
+    Only the folders of the batch's series are rewritten.
     """
     def step(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.write.mode("overwrite").partitionBy(*by).parquet(f"{store}/batch={batch_id}")
-        touched = spark.read.parquet(f"{store}/batch={batch_id}").select(*by).distinct()
-        known = spark.read.option("basePath", store).parquet(f"{store}/batch=*")
-        rows = known.join(touched, list(by), "left_semi").drop("batch").dropDuplicates([*by, "energy", "time_tag"])
-        table = feature_table(build_telemetry(rows, by, tie), [tie])
-        before = spark.conf.get("spark.sql.sources.partitionOverwriteMode")
-        spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
-        try:
-            write_table(table, features, by)
-        finally:
-            spark.conf.set("spark.sql.sources.partitionOverwriteMode", before)
+        batch.write.mode("overwrite").parquet(f"{store}/batch={batch_id}")
+        touched = spark.read.parquet(f"{store}/batch={batch_id}").select(*[F.col(c).alias(f"_t_{c}") for c in by]).distinct()
+        known = spark.read.schema(batch.schema.add("batch", "long")).option("basePath", store).parquet(f"{store}/batch=*")
+        rows = known.filter(F.col("batch") <= batch_id).join(touched, [F.col(c).eqNullSafe(F.col(f"_t_{c}")) for c in by], "left_semi")
+        fetched = Window.partitionBy(*by, "energy", "time_tag").orderBy(F.desc("batch"), *[F.desc(c) for c in batch.columns])
+        rows = rows.withColumn("_fetch", F.row_number().over(fetched)).filter("_fetch = 1").drop("_fetch", "batch")
+        write_table(feature_table(build_telemetry(rows, by, tie), [tie]), features, by, only_touched=True)
     return step
 
 
 def snapshot_step(path: str, by: Sequence[str], order: Sequence[str], rows: int = SNAPSHOT_ROWS) -> Callable[[DataFrame, int], None]:
-    """Batch step of the push feed: the newest ``rows`` rows of every series, newest marked."""
+    """Batch step of the push feed: the newest ``rows`` rows of every series so far, newest marked.
+
+    The newest of the snapshot before and the batch together; each batch writes its own folder, so a retry
+    reads the same snapshot again.
+    """
     def step(batch: DataFrame, batch_id: int) -> None:
-        newest = recent(batch, by, order, rows).withColumn("is_status", F.col(AGE) == 0).drop(AGE)
+        spark, seen = batch.sparkSession, batch
+        if batch_id:
+            before = spark.read.schema(batch.schema).parquet(f"{path}/batch={batch_id - 1}")
+            seen = batch.unionByName(before)
+        newest = recent(seen, by, order, rows).withColumn("is_status", F.col(AGE) == 0).drop(AGE)
         newest.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
     return step
