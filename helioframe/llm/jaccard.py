@@ -9,15 +9,18 @@ share last, then the hash. Two sets of n and m shingles that are near share at l
 of the first n - ceil(4 n / 5) + 1 of each: every document is replicated into that many regions and no other.
 The first shingle that two near sets have in common lies, in the smaller set, among its first n / 9 + 1: what
 follows could not suffice otherwise. A region where no set holds the pivot that early is dropped, and so are the
-later holders smaller than every early one. Of regions with the same sets the first in the order is kept.
+later holders that could only be near sets smaller than every early one. Of regions with the same sets the first in
+the order is kept.
 
 Small regions (up to ``LEAF`` sets) are joined directly: pairs whose sizes and places of the pivot allow it are
-compared exactly. Larger regions are split around a document: with the exact
-distances d(x, p) of all members to the pivot p, members within 1/5 are linked to it and take its label; a region whose members
-all have one label is done; of the most frequent label only members stay for which |d(x, p) - d(y, p)| <=
-1/5 for some y outside (the triangle window). The pivot leaves, the next one is a member with another label, and so on until the region is small or done. A group of near copies takes one or two rounds with one
-comparison per member, however large it is. A region whose members are far from each other gains nothing from
-pivots: from the fourth round on larger regions, too, are joined directly.
+compared exactly. Larger regions are split around a document, the member that holds the fewest rare shingles before
+the region's own: in a group of near copies it lies in the middle. With the exact distances d(x, p) of all members to
+the pivot p, members within 1/5 are linked to it and take its label; a region whose members all have one label is
+done; of the most frequent label only members stay for which |d(x, p) - d(y, p)| <= 1/5 for some y outside (the
+triangle window). The pivot leaves, the next one is a member with another label, and so on until the region is small
+or done. A group of near copies takes one or two rounds with one comparison per member, however large it is. What
+``ROUNDS`` pivots leave is joined directly like a small region, but for pairs that the links found so far connect,
+in this region or another; Spark splits a region that is large then.
 
 Equal sets are one node throughout, known by a 64-bit fingerprint of the set (two of 10^8 different sets agree
 with probability 3 in 10^4).
@@ -41,7 +44,7 @@ FREQUENT = 32              # sets that share a shingle from which it counts as f
 FREQUENT_LIMIT = 1 << 20   # most frequent shingles moved to the end of the order: 8 MB sent to each task
 REACH = 1.5                # how far beyond its first shingles a document is looked at for frequent ones
 LEAF = 32
-WIDE_LEAF, WIDE_AFTER = 256, 3     # after so many rounds larger regions count as small, each round 4 times larger
+ROUNDS = 3                 # pivots a large region is split around before its rest is joined directly
 
 
 def first_count(n: int) -> int:
@@ -144,9 +147,9 @@ def shared_regions(heads: DataFrame) -> DataFrame:
     """h, node, n, at (place of h in the set's order) and size of the regions where near sets can meet first."""
     rows = heads.select(F.posexplode("heads").alias("at", "h"), "node", "n")
     early = F.when(9 * F.col("at") <= F.col("n"), F.col("n"))
-    both = rows.groupBy("h").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(early).alias("least"))
-    both = both.filter("low <> high and least is not null").select("h", "least")
-    kept = rows.join(persist_table(both, "shared"), "h").filter("9 * at <= n or n >= least")
+    both = rows.groupBy("h").agg(F.count(F.lit(1)).alias("holders"), F.min(early).alias("least"))
+    both = both.filter("holders > 1 and least is not null").select("h", "least")
+    kept = rows.join(persist_table(both, "shared"), "h").filter("9 * at <= n or 5 * n - 9 * at >= 4 * least")
     kept = persist_table(kept.select("h", "node", "n", "at").distinct(), "regions")
     # the same sets in the same order of pivots: the region with the smaller places comes first
     alike = kept.groupBy("h").agg(
@@ -197,32 +200,33 @@ NEAR = "9 * shared >= 4 * (n + m)"
 TAU = 0.2 + 1e-9
 
 
-def small_region_pairs(rows: DataFrame) -> DataFrame:
-    """a < b that can have their first common shingle here: what follows it in both sets has to suffice."""
-    members = rows.groupBy("h").agg(F.collect_list(F.struct("node", "n", "at")).alias("all"))     # at most LEAF or WIDE_LEAF
-    left = members.select(F.explode("all").alias("x"), "all")
-    fits = F.filter("all", lambda y: (y["node"] > F.col("x.node")) & (
-        9 * F.least(y["n"] - y["at"], F.col("x.n") - F.col("x.at")) >= 4 * (y["n"] + F.col("x.n"))))
-    return left.select("x", F.explode(fits).alias("y")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+def region_pairs(rows: DataFrame) -> DataFrame:
+    """a < b of different labels that can have their first common shingle here: what follows it in both sets has to suffice."""
+    reach = F.expr("5 * n - 9 * at")      # 4 times the largest size of a near set
+    x = rows.select("h", F.col("node").alias("a"), F.col("n").alias("x_n"), reach.alias("x_reach"), F.col("label").alias("x_label"))
+    y = rows.select("h", F.col("node").alias("b"), F.col("n").alias("y_n"), reach.alias("y_reach"), F.col("label").alias("y_label"))
+    return x.join(y, "h").filter("a < b and x_label <> y_label and 4 * y_n <= x_reach and 4 * x_n <= y_reach").select("a", "b").distinct()
 
 
 def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Edges found around pivots, and the rows left to be joined as small regions."""
+    """Edges found around pivots, and the rows left to be joined directly."""
     active = persist_table(rows.select("h", "node", "n", "at").withColumns({"label": F.col("node"), "outside": F.lit(True)}), "large-regions")
     edges: DataFrame | None = None
     small: DataFrame | None = None
     turn = 0
     while True:
         sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
-        limit = LEAF if turn < WIDE_AFTER else WIDE_LEAF * 4 ** (turn - WIDE_AFTER)
         if turn:
-            part = active.join(sizes.filter(F.col("size") <= limit), "h", "left_semi").select("h", "node", "n", "at")
+            last = turn == ROUNDS
+            part = (active if last else active.join(sizes.filter(F.col("size") <= LEAF), "h", "left_semi")).select("h", "node", "n", "at", "label")
             small = part if small is None else small.union(part)
-            active = persist_table(active.join(sizes.filter(F.col("size") > limit), "h", "left_semi"), "large-regions")
+            if last:
+                return edges, small
+            active = persist_table(active.join(sizes.filter(F.col("size") > LEAF), "h", "left_semi"), "large-regions")
         if active.isEmpty():
             return edges, small
         turn += 1
-        pivots = persist_table(active.filter("outside").groupBy("h").agg(F.min("node").alias("pivot")), "pivots")
+        pivots = persist_table(active.filter("outside").groupBy("h").agg(F.min_by("node", F.struct("at", "node")).alias("pivot")), "pivots")
         met = active.join(pivots, "h").filter("node <> pivot")
         pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
         measured = persist_table(distances(pairs, sets), "distances")
@@ -234,12 +238,14 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
         # equal labels mean linked, directly or through a pivot that has left
         rest = met.join(d, ["node", "pivot"]).withColumn("label", F.when(F.col("near"), F.col("pivot")).otherwise(F.col("label")))
         rest = persist_table(rest.select("h", "node", "n", "at", "label", "d"), "measured-regions")
-        by_label = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("low"), F.max("d").alias("high"))
+        by_label = rest.groupBy("h", "label").agg(F.count(F.lit(1)).alias("members"), F.min("d").alias("low"), F.max("d").alias("high"),
+            F.min("n").alias("least"), F.max(F.expr("5 * n - 9 * at")).alias("reach"))
         largest = by_label.groupBy("h").agg(F.max_by("label", "members").alias("main"))
         window = by_label.join(largest, "h").filter(F.col("label") != F.col("main")).groupBy("h", "main").agg(
-            F.min("low").alias("low"), F.max("high").alias("high"))
+            F.min("low").alias("low"), F.max("high").alias("high"), F.min("least").alias("least"), F.max("reach").alias("reach"))
         kept = rest.join(window, "h").withColumn("outside", F.col("label") != F.col("main"))
-        kept = kept.filter(F.col("outside") | F.col("d").between(F.col("low") - TAU, F.col("high") + TAU))
+        fits = F.expr("4 * n <= reach and 4 * least <= 5 * n - 9 * at") & F.col("d").between(F.col("low") - TAU, F.col("high") + TAU)
+        kept = kept.filter(F.col("outside") | fits)
         active = persist_table(kept.select("h", "node", "n", "at", "label", "outside"), "large-regions")
 
 
@@ -250,15 +256,20 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     heads = persist_table(postings(docs, frequent_shingles(docs, key, text), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
-    pairs = persist_table(small_region_pairs(small), "pairs")
+    pairs = persist_table(region_pairs(small.withColumn("label", F.col("node"))), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     sets = persist_table(sets_for(docs, nodes, owners, key, text), "sets")
     edges, left = join_large_regions(large, sets)
-    if left is not None:
-        pairs = pairs.union(small_region_pairs(left)).distinct()
     found = distances(pairs, sets).filter(NEAR).select("a", "b")
     linked = components(found if edges is None else edges.union(found))
+    if left is not None:
+        # what links already connect, in whatever region, need not be compared again
+        linked = persist_table(linked, "linked")
+        known = left.drop("label").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        more = persist_table(region_pairs(known), "pairs-left")
+        found = distances(more, sets).filter(NEAR).select("a", "b")
+        linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
     return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 

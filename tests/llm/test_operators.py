@@ -108,10 +108,10 @@ def variants(groups, size, words=60):
     return rows
 
 
-@pytest.mark.parametrize("leaf,wide,frequent", [(32, 256, 1 << 20), (3, 6, 0), (3, 4, 20)])
-def test_jaccard(spark, monkeypatch, leaf, wide, frequent):
+@pytest.mark.parametrize("leaf,rounds,frequent", [(32, 256, 1 << 20), (3, 6, 0), (3, 4, 20)])
+def test_jaccard(spark, monkeypatch, leaf, rounds, frequent):
     monkeypatch.setattr(jaccard, "LEAF", leaf)
-    monkeypatch.setattr(jaccard, "WIDE_LEAF", wide)
+    monkeypatch.setattr(jaccard, "ROUNDS", rounds)
     monkeypatch.setattr(jaccard, "FREQUENT_LIMIT", frequent)
     monkeypatch.setattr(jaccard, "FREQUENT", 4)
     rows = variants(6, 14)
