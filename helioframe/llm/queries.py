@@ -8,13 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helioframe.llm import chat, embeddings, jaccard, licenses, mixing, packing, quality, records, urls, warc
+from helioframe.llm import chat, embeddings, jaccard, licenses, mixing, negatives, packing, pieces, quality, records, urls, warc, whitening
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE: dict[str, str] = {}
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def query(fn: Query) -> Query:
@@ -150,3 +151,39 @@ SELECT page_id, payload_bytes::BIGINT AS payload_bytes, payload_digest,
   CASE WHEN first_id IS DISTINCT FROM page_id AND first_id IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
 FROM bodies LEFT JOIN firsts USING (payload_digest)
 """
+
+
+@query
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = pieces.decode_ids(pieces.encode_texts(table(spark, sf_dir, "documents"), PIECES), PIECES)
+    return rows.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.hard_negatives(table(spark, sf_dir, "embeddings"), anchor=F.col("vec_id") % 100 == 0, label=label)
+
+
+# every anchor with every row
+ORACLE["op13_hard_negatives"] = """
+WITH usable AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * c::DOUBLE) for c in embedding] AS x, row_number() OVER () AS k
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len([c for c in embedding if c IS NULL OR NOT isfinite(c)]) = 0),
+anchors AS (SELECT * FROM usable WHERE vec_id % 100 = 0),
+scored AS (
+  SELECT a.k AS anchor, a.vec_id AS anchor_id, r.k AS other, r.vec_id AS other_id, a.label = r.label AS same, list_inner_product(a.x, r.x)::BIGINT AS score
+  FROM anchors a JOIN usable r ON a.k <> r.k AND len(a.x) = len(r.x)),
+positives AS (
+  SELECT * FROM scored WHERE same QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, other_id NULLS LAST) <= 5),
+found AS (
+  SELECT p.anchor, p.other AS positive, p.anchor_id, p.other_id AS positive_id, n.other_id AS negative_id, p.score AS positive_score, n.score AS negative_score,
+    row_number() OVER (PARTITION BY p.anchor, p.other ORDER BY n.score DESC, n.other_id NULLS LAST) AS rank
+  FROM positives p JOIN scored n ON p.anchor = n.anchor AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM found WHERE rank <= 5
+"""
