@@ -5,27 +5,27 @@ behind another character and texts are not normalised otherwise, no merge crosse
 text are the ids of its chunks in a row. Steps:
 
 1. Texts are gathered into blocks of about ``BLOCK_BYTES``. A block lists its distinct chunks; a text becomes the
-   numbers of its chunks in that list, frequent ones small. Blocks are written once.
+   numbers of its chunks in that list, frequent ones small. Blocks are written once, bucketed by block.
 2. The lists, dealt into parts by the hash of the chunk, are shuffled by part. A part holds all places of its
    chunks, sends each distinct one to the library once, and answers every block with the ids.
-3. Answers and numbered texts of a block meet, and ids are placed by position.
+3. The answers go to the bucket of their block, where ids are placed by position.
 
-Only lists of distinct chunks, their ids, and one number per chunk of a text are moved, all of them packed: no text
-and no row per word is shuffled. Blocks have a bounded size, but for a single text that is longer, and the number of
-parts follows the bytes of all texts, so no group grows with the corpus. A model whose pieces may cross a mark has
-whole texts as its chunks: slower, and as exact.
+Only lists of distinct chunks and their ids are moved, sorted and packed: no text, no number and no row per word is
+shuffled. Blocks have a bounded size, but for a single text that is longer, and the number of parts follows the bytes
+of all texts, so no group grows with the corpus. A model whose pieces may cross a mark has whole texts as its
+chunks: slower, and as exact.
 """
 
 from __future__ import annotations
 
 import re
+import uuid
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import sentencepiece
 import zstandard
 from pyspark.sql import DataFrame
@@ -33,15 +33,18 @@ from pyspark.sql import functions as F
 
 from helioframe.llm.storage import task_part
 from helioframe.llm.text import ready
-from helioframe.session import persist_table
+from helioframe.session import scratch_path
 
-BLOCK_BYTES = 24 << 20
+BLOCK_BYTES = 16 << 20
 PART_BYTES = 8 << 20
+MOST_BUCKETS = 50_000
+OUT_ROWS = 500
 MARK = "▁"
 
 _CHUNK = re.compile(" +[^ ]*")
-BLOCKS = "block bigint, part int, key bigint, numbers binary, chunks binary"
-ANSWERS = "block bigint, numbers binary, lengths binary, ids binary"
+END = b"\xff"            # in no UTF-8 text
+BLOCKS = "block bigint, part int, chunks binary, keys array<bigint>, sizes binary, numbers binary, places binary"
+ANSWERS = "block bigint, part int, lengths binary, ids binary"
 
 
 class Model:
@@ -82,7 +85,7 @@ def model(path: str) -> Model:
 
 
 def pack(data: bytes) -> bytes:
-    return zstandard.compress(data, 1)
+    return zstandard.compress(data, 3)
 
 
 def unpack(data: bytes) -> bytes:
@@ -99,18 +102,6 @@ def unpack_numbers(data: bytes) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view("<u4").reshape(-1)
 
 
-def _join(words: list[bytes]) -> bytes:
-    """Byte strings of any content as one."""
-    sizes = np.array([len(w) for w in words], dtype="<u4")
-    return np.uint32(len(words)).tobytes() + sizes.tobytes() + b"".join(words)
-
-
-def _split(data: bytes) -> list[bytes]:
-    count = int.from_bytes(data[:4], "little")
-    ends = np.cumsum(np.frombuffer(data, dtype="<u4", count=count, offset=4), dtype=np.int64) + 4 + 4 * count
-    return [data[a:b] for a, b in zip([4 + 4 * count, *ends[:-1].tolist()], ends.tolist(), strict=True)] if count else []
-
-
 class Places(dict):
     """The number of each chunk, by first sight."""
 
@@ -119,19 +110,35 @@ class Places(dict):
         return number
 
 
-def number_block(texts: list[str], path: str, parts: int) -> tuple[list[np.ndarray], dict[int, tuple[np.ndarray, list[bytes]]]]:
-    """Chunk numbers of each text, and the distinct chunks with their numbers, dealt into parts."""
+def number_block(texts: list[str], path: str, parts: int) -> tuple[list[np.ndarray], np.ndarray, dict[int, list[bytes]]]:
+    """Chunk numbers of each text, frequent ones small; the place of each number; the distinct chunks.
+
+    Chunks are dealt into parts and sorted in each. Places count along the parts, in ascending order.
+    """
     cut, seen = model(path).cut, Places()
     numbers = [np.fromiter(map(seen.__getitem__, cut(t)), dtype=np.uint32) for t in texts]
-    counts = np.bincount(np.concatenate(numbers), minlength=len(seen)) if numbers else np.zeros(0)
+    counts = np.zeros(len(seen), dtype=np.int64)
+    for x in numbers:
+        np.add.at(counts, x, 1)
     rank = np.empty(len(seen), dtype=np.uint32)
     rank[np.argsort(-counts, kind="stable")] = np.arange(len(seen), dtype=np.uint32)
     words = [c.encode() for c in seen]
-    part = np.fromiter((zlib.crc32(w) % parts for w in words), dtype=np.int64, count=len(words))
-    order = np.argsort(part, kind="stable")
+    seen.clear()
+    part = np.fromiter((zlib.crc32(w) % parts for w in words), dtype=np.int32, count=len(words))
+    order = np.fromiter(sorted(range(len(words)), key=words.__getitem__), dtype=np.int64, count=len(words))
+    order = order[np.argsort(part[order], kind="stable")]
+    places = np.empty(len(words), dtype=np.uint32)
+    places[rank[order]] = np.arange(len(words), dtype=np.uint32)
     borders = np.flatnonzero(np.diff(part[order])) + 1
-    lists = {int(part[at[0]]): (rank[at], [words[i] for i in at.tolist()]) for at in np.split(order, borders) if len(at)}
-    return [rank[x] for x in numbers], lists
+    lists = {int(part[at[0]]): [words[i] for i in at.tolist()] for at in np.split(order, borders) if len(at)}
+    return [rank[x] for x in numbers], places, lists
+
+
+def in_buckets(df: DataFrame, column: str, buckets: int, label: str) -> DataFrame:
+    """``df`` stored in the shared folder, bucketed by a column, so that joins on it do not move these rows."""
+    name = f"{label}_{uuid.uuid4().hex}"
+    df.write.bucketBy(buckets, column).option("path", scratch_path(df.sparkSession, label)).saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
 def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", ends: bool = True, block_bytes: int = BLOCK_BYTES, part_bytes: int = PART_BYTES) -> DataFrame:
@@ -146,65 +153,66 @@ def encode_texts(docs: DataFrame, path: str, key: str = "doc_id", text: str = "t
     total = rows.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     parts = max(1, -(-total // part_bytes))
 
-    def block_rows(at: int, keys: list[int | None], texts: list[str]) -> Iterator[pa.RecordBatch]:
-        block = (task_part() << 32) + at
-        numbers, vocabulary = number_block(texts, path, parts)
-        n = len(keys)
-        yield pa.RecordBatch.from_arrays([
-            pa.array([block] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(keys, pa.int64()), pa.array([pack_numbers(x) for x in numbers], pa.binary()),
-            pa.nulls(n, pa.binary())], names=_BLOCKS)
-        for part, (at_numbers, words) in vocabulary.items():
-            yield pa.RecordBatch.from_arrays([
-                pa.array([block]), pa.array([part], pa.int32()), pa.nulls(1, pa.int64()), pa.array([pack_numbers(at_numbers)], pa.binary()),
-                pa.array([pack(_join(words))], pa.binary())], names=_BLOCKS)
+    def block_rows(at: int, keys: list[int | None], texts: list[str]) -> pa.RecordBatch:
+        numbers, places, words = number_block(texts, path, parts)
+        n = len(words)
+        return pa.RecordBatch.from_arrays([
+            pa.array([(task_part() << 32) + at] * (n + 1), pa.int64()), pa.array([*words, None], pa.int32()),
+            pa.array([*(pack(END.join(w)) for w in words.values()), None], pa.binary()), pa.array([*[None] * n, keys], pa.list_(pa.int64())),
+            *(pa.array([*[None] * n, pack_numbers(x)], pa.binary()) for x in (np.array([len(x) for x in numbers]), np.concatenate(numbers), places))], names=_BLOCKS)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, size, keys, texts = 0, 0, [], []
         for batch in batches:
             for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if texts and size + len(t or "") > block_bytes:
-                    yield from block_rows(at, keys, texts)
+                    yield block_rows(at, keys, texts)
                     at, size, keys, texts = at + 1, 0, [], []
                 keys.append(k)
                 texts.append(t or "")
                 size += len(t or "")
         if texts:
-            yield from block_rows(at, keys, texts)
+            yield block_rows(at, keys, texts)
 
-    blocks = persist_table(rows.mapInArrow(number, BLOCKS), "chunk-blocks")
+    buckets = min(MOST_BUCKETS, 2 + 2 * (total // max(1, block_bytes)))     # twice as many as blocks: few meet
+    blocks = in_buckets(rows.mapInArrow(number, BLOCKS), "block", buckets, "chunk_blocks")
 
     def answer(table: pa.Table) -> pa.Table:
         """All places of one part's chunks: each distinct chunk is segmented once."""
-        lists = [_split(unpack(c)) for c in table.column("chunks").to_pylist()]
-        place: dict[bytes, int] = {}
-        where = [np.fromiter((place.setdefault(w, len(place)) for w in words), dtype=np.int64, count=len(words)) for words in lists]
-        known = model(path)
-        ids = known.segment([w.decode() for w in place])
+        seen, known = Places(), model(path)
+        where = [np.fromiter(map(seen.__getitem__, unpack(c).split(END)), dtype=np.int64) for c in table.column("chunks").to_pylist()]
+        ids = known.segment([w.decode() for w in seen])
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
         flat = np.fromiter((i for row in ids for i in row), dtype=known.dtype, count=int(lengths.sum()))
         starts = np.cumsum(lengths) - lengths
-        out = [(lengths[w], flat[ranges(starts[w], lengths[w])]) for w in where]
         return pa.table({
-            "block": table.column("block"), "numbers": table.column("numbers"),
-            "lengths": pa.array([pack_numbers(n) for n, _ in out], pa.binary()), "ids": pa.array([pack(x.tobytes()) for _, x in out], pa.binary())})
+            "block": table.column("block"), "part": table.column("part"), "lengths": pa.array([pack_numbers(lengths[w]) for w in where], pa.binary()),
+            "ids": pa.array([pack(flat[ranges(starts[w], lengths[w])].tobytes()) for w in where], pa.binary())})
 
-    lists = blocks.filter(F.col("part").isNotNull()).select("block", "part", "numbers", "chunks")
+    lists = blocks.filter(F.col("part").isNotNull()).select("block", "part", "chunks")
     answers = lists.groupBy("part").applyInArrow(answer, ANSWERS)
+    # one line per block, of the size of the block's list
+    answers = answers.repartition(buckets, "block").groupBy("block").agg(F.sort_array(F.collect_list(F.struct("part", "lengths", "ids"))).alias("answers"))
 
-    def place(table: pa.Table) -> pa.Table:
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = model(path)
         before, after = ([np.array(e, dtype="<u4").tobytes() for e in known.ends] if ends else (b"", b""))
-        answered = table.column("lengths").is_valid()
-        lengths, flat, starts = gather(table.filter(answered), known.dtype)
-        texts = table.filter(pc.invert(answered))
-        ids = []
-        for numbers in texts.column("numbers").to_pylist():
-            at = unpack_numbers(numbers)
-            ids.append(before + flat[ranges(starts[at], lengths[at])].astype("<u4").tobytes() + after)
-        return pa.table({"key": texts.column("key"), "n_tokens": pa.array([len(i) // 4 for i in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
-
-    numbered = blocks.filter(F.col("part").isNull()).select("block", "key", "numbers")
-    out = numbered.unionByName(answers, allowMissingColumns=True).groupBy("block").applyInArrow(place, "key bigint, n_tokens bigint, ids binary")
+        for batch in batches:
+            for at in range(batch.num_rows):
+                keys, sizes, numbers, places, found = (batch.column(c)[at].as_py() for c in ("keys", "sizes", "numbers", "places", "answers"))
+                lengths = np.concatenate([np.zeros(0, dtype=np.int64), *(unpack_numbers(x["lengths"]) for x in found or [])]).astype(np.int64)
+                flat = np.frombuffer(b"".join(unpack(x["ids"]) for x in found or []), dtype=known.dtype)
+                starts, order = np.cumsum(lengths) - lengths, unpack_numbers(places)
+                chunks, ids = order[unpack_numbers(numbers)], []
+                for part in np.split(chunks, np.cumsum(unpack_numbers(sizes))[:-1]):
+                    ids.append(before + flat[ranges(starts[part], lengths[part])].astype("<u4").tobytes() + after)
+                for k in range(0, len(ids), OUT_ROWS):
+                    part = ids[k:k + OUT_ROWS]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(keys[k:k + OUT_ROWS], pa.int64()), pa.array([len(i) // 4 for i in part], pa.int64()), pa.array(part, pa.binary())], names=["key", "n_tokens", "ids"])
+
+    numbered = blocks.filter(F.col("part").isNull()).select("block", "keys", "sizes", "numbers", "places")
+    out = numbered.join(answers, "block", "left").mapInArrow(place, "key bigint, n_tokens bigint, ids binary")
     return out.withColumnRenamed("key", key)
 
 
@@ -217,18 +225,6 @@ def ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - ends + lengths, lengths)
 
 
-def gather(table: pa.Table, dtype: np.dtype) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of one block's answers: number of ids of each chunk number, all ids, and where those of each number start."""
-    if not table.num_rows:      # only empty texts
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=dtype), np.zeros(0, dtype=np.int64)
-    numbers = np.concatenate([unpack_numbers(x) for x in table.column("numbers").to_pylist()]).astype(np.int64)
-    sizes = np.concatenate([unpack_numbers(x) for x in table.column("lengths").to_pylist()]).astype(np.int64)
-    flat = np.frombuffer(b"".join(unpack(x) for x in table.column("ids").to_pylist()), dtype=dtype)
-    lengths, starts = np.zeros(len(numbers), dtype=np.int64), np.zeros(len(numbers), dtype=np.int64)
-    lengths[numbers], starts[numbers] = sizes, np.cumsum(sizes) - sizes
-    return lengths, flat, starts
-
-
 def decode_ids(rows: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Adds the text that the library's ``decode`` makes of the ids (little-endian unsigned 32-bit). Null ids: null."""
     ready(rows.sparkSession)

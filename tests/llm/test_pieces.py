@@ -43,7 +43,7 @@ ODD = ["", " ", "  ", "a", "a ", " a", "a  ", "a   b", "\t", "\n \n", "a▁b", "
        "é ﬁ ﻿", " x y", " " * 100 + "z" + " " * 33, "x" * 20_000 + " y"]
 
 
-@pytest.mark.parametrize("block_bytes, part_bytes", [(pieces.BLOCK_BYTES, pieces.PART_BYTES), (30, 40), (1, 10**9), (0, 100)])
+@pytest.mark.parametrize("block_bytes, part_bytes", [(pieces.BLOCK_BYTES, pieces.PART_BYTES), (3000, 4000), (9000, 10**9)])
 def test_pieces_blocks_and_parts(spark, library, block_bytes, part_bytes):
     rows = list(enumerate([*ODD, *ODD, "z" * 50, None, "", "z" * 50]))
     df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
@@ -56,13 +56,30 @@ def test_pieces_blocks_and_parts(spark, library, block_bytes, part_bytes):
     assert bare == {k: library.encode(t or "") for k, t in rows}
 
 
-def test_each_distinct_chunk_once(spark):
+def test_blocks_of_empty_texts(spark):
+    df = spark.createDataFrame([(0, ""), (1, None), (2, "a"), (3, "")], "doc_id bigint, text string")
+    out = pieces.encode_texts(df, PIECES, block_bytes=0)
+    assert {r.doc_id: r.n_tokens for r in out.collect()} == {0: 2, 1: 2, 2: 3, 3: 2}
+
+
+def test_each_distinct_chunk_once():
     """A block lists a chunk once however often it occurs, and the parts of a list are disjoint."""
-    numbers, lists = pieces.number_block(["a b a  b", "b a", ""], PIECES, 3)
-    words = [w for _, ws in lists.values() for w in ws]
+    numbers, places, lists = pieces.number_block(["b a b  b", "a b", ""], PIECES, 3)
+    words = [w for part in sorted(lists) for w in lists[part]]
     assert sorted(words) == [b"  b", b" a", b" b"] and len(numbers[2]) == 0
-    by_number = {int(n): w for at, ws in lists.values() for n, w in zip(at, ws, strict=True)}
-    assert [by_number[n] for n in numbers[0]] == [b" a", b" b", b" a", b"  b"]
+    assert [words[places[n]] for n in numbers[0]] == [b" b", b" a", b" b", b"  b"]
+    assert numbers[0][0] == 0       # the most frequent one
+
+
+def test_numbered_texts_are_not_shuffled(spark):
+    """Only the lists by part and the answers by block are."""
+    df = spark.createDataFrame([(k, f"a b {k}") for k in range(9)], "doc_id bigint, text string")
+    out = pieces.encode_texts(df, PIECES, block_bytes=8)
+    assert out.count() == 9
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    exchanged = [x for x in plan.splitlines() if " Exchange " in x or "- Exchange" in x]
+    assert not any("places" in x for x in exchanged)
+    assert plan.count("Exchange hashpartitioning(block") <= 2 and "numbers" not in "".join(exchanged)
 
 
 def test_models_whose_pieces_cross_take_whole_texts(library):
