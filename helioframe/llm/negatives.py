@@ -33,7 +33,8 @@ SLICE_PAIRS = 1 << 19        # pairs bounded at a time
 EXACT_PAIRS = 1 << 15        # pairs multiplied out at a time
 LIMIT = 1 << 53
 ANY = 1 << 62              # beyond all scores
-ROUNDING = 1e-5              # summaries are stored in single precision
+ROUNDING = 1e-5              # bounds are in single precision
+DENSE = 16                   # a slice with more than one pair in so many left is multiplied out as a matrix
 
 ROWS = "row bigint, vec_id bigint, label bigint, dims bigint, x binary, summary binary"
 
@@ -96,7 +97,7 @@ class Side:
         self.x = np.frombuffer(b"".join(self.table.column("x").to_pylist()), dtype="<f8").reshape(n, dims)
         self.most = float(np.abs(self.x).max(initial=0))
         self.levels = []
-        parts = np.frombuffer(b"".join(self.table.column("summary").to_pylist()), dtype="<f4").reshape(n, -1).astype(np.float64)
+        parts = np.frombuffer(b"".join(self.table.column("summary").to_pylist()), dtype="<f4").reshape(n, -1)
         at = 0
         for length in LENGTHS:
             k = len(segment_borders(dims, length)) - 1
@@ -109,7 +110,7 @@ def bounds(anchors: Side, rows: Side, level: int, part: slice, columns: np.ndarr
     (mean, spread), (other, wide) = anchors.levels[level], rows.levels[level]
     centre = mean[part] @ other[columns].T
     reach = spread[part] @ wide[columns].T
-    reach += ROUNDING * (reach + np.abs(mean[part]) @ np.abs(other[columns]).T) + 1e-6
+    reach += np.float32(ROUNDING + 2.5e-7 * mean.shape[1]) * (reach + np.abs(mean[part]) @ np.abs(other[columns]).T) + np.float32(1e-6)
     return centre - reach, centre + reach
 
 
@@ -120,12 +121,12 @@ def kth_largest(values: np.ndarray, k: int) -> np.ndarray:
     return -np.partition(-values, k - 1, axis=1)[:, k - 1]
 
 
-def exact_scores(a: np.ndarray, b: np.ndarray, exact: type) -> np.ndarray:
-    out = [np.zeros(0, dtype=exact)]
-    for at in range(0, len(a), EXACT_PAIRS):
+def exact_scores(a: np.ndarray, b: np.ndarray, i: np.ndarray, j: np.ndarray, exact: type) -> np.ndarray:
+    out = np.zeros(len(i), dtype=exact)
+    for at in range(0, len(i), EXACT_PAIRS):
         part = slice(at, at + EXACT_PAIRS)
-        out.append(np.einsum("ij,ij->i", a[part].astype(exact), b[part].astype(exact)))
-    return np.concatenate(out)
+        out[part] = np.einsum("ij,ij->i", a[i[part]].astype(exact, copy=False), b[j[part]].astype(exact, copy=False))
+    return out
 
 
 def first_rows(anchors: Side, rows: Side, same_label: bool, low: np.ndarray, high: np.ndarray, k: int, stats: dict | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
@@ -147,17 +148,22 @@ def first_rows(anchors: Side, rows: Side, same_label: bool, low: np.ndarray, hig
         for level in range(len(LENGTHS)):
             least, most = bounds(anchors, rows, level, part, columns)
             for w, mask in enumerate(open_pairs):
-                lo, hi = low[part, w, None], high[part, w, None]
-                mask = mask & (most >= lo) & (least <= hi)
-                sure = np.where(mask & (least >= lo) & (most <= hi), least, -np.inf)
-                open_pairs[w] = mask & (most >= kth_largest(sure, k)[:, None])
+                lo, hi = (limit[part, w, None].astype(np.float32) for limit in (low, high))
+                slack = np.float32(1e-6) * np.abs(lo), np.float32(1e-6) * np.abs(hi)
+                mask = mask & (most >= lo - slack[0]) & (least <= hi + slack[1])
+                sure = mask & (least >= lo + slack[0]) & (most <= hi - slack[1])
+                enough = np.flatnonzero(np.count_nonzero(sure, axis=1) >= k)
+                if len(enough):
+                    mask[enough] &= most[enough] >= kth_largest(np.where(sure[enough], least[enough], -np.inf), k)[:, None]
+                open_pairs[w] = mask
             left = np.flatnonzero(np.logical_or.reduce(open_pairs).any(axis=0))
             columns, open_pairs = columns[left], [m[:, left] for m in open_pairs]
         i, j = np.nonzero(np.logical_or.reduce(open_pairs))
         score = np.zeros(open_pairs[0].shape, dtype=exact)
-        for s in range(0, len(i), EXACT_PAIRS):
-            u, v = i[s:s + EXACT_PAIRS], j[s:s + EXACT_PAIRS]
-            score[u, v] = exact_scores(anchors.x[part][u], rows.x[columns[v]], exact)
+        if exact is np.float64 and len(i) * DENSE > score.size:
+            score = anchors.x[part] @ rows.x[columns].T
+        else:
+            score[i, j] = exact_scores(anchors.x[part], rows.x[columns], i, j, exact)
         if stats is not None:
             stats["pairs"], stats["exact"] = stats.get("pairs", 0) + int(allowed.sum()), stats.get("exact", 0) + len(i)
         for w, mask in enumerate(open_pairs):

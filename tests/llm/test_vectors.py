@@ -117,7 +117,7 @@ def test_negatives_odd_rows(spark, odd_vectors, monkeypatch):
     want = sql(odd_vectors, "op13_hard_negatives")
     assert len(want) > 30
     assert difference(QUERIES["op13_hard_negatives"](spark, odd_vectors).toPandas(), want) is None
-    for name, value in (("BLOCK_ANCHORS", 2), ("BLOCK_ROWS", 50), ("SLICE_PAIRS", 64), ("EXACT_PAIRS", 5), ("LENGTHS", (6, 2, 1))):
+    for name, value in (("BLOCK_ANCHORS", 2), ("BLOCK_ROWS", 50), ("SLICE_PAIRS", 64), ("EXACT_PAIRS", 5), ("LENGTHS", (6, 2, 1)), ("DENSE", 0)):
         monkeypatch.setattr(negatives, name, value)
     assert difference(QUERIES["op13_hard_negatives"](spark, odd_vectors).toPandas(), want) is None
 
