@@ -408,5 +408,8 @@ d AS (SELECT *, (CASE WHEN pos > 0 THEN tp / pos::DOUBLE ELSE 1 END) - (CASE WHE
     sql["stream_dedup"] = wq(FEED, "SELECT series, energy, time_tag, flux FROM feed")
     sql["stream_labels"] = wq(TELEMETRY, """SELECT a.series, a.event_id, max(b.lflux) AS peak
 FROM tel a JOIN tel b ON a.series = b.series AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 4 HOURS GROUP BY a.series, a.event_id""")
+    sql["stream_refresh"] = sql["feature_table"]
+    sql["stream_snapshot"] = wq(UNIT, """SELECT series, event_id, x, newest = 1 AS is_status
+FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC, event_id DESC) AS newest FROM unit) WHERE newest <= 81""")
     return sql
 

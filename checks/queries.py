@@ -31,6 +31,7 @@ from helioframe.schema import FEATURE_COLUMNS, FEATURES, HORIZONS, LONG, LONG_HO
 from helioframe.session import persist_table, scratch_path
 from helioframe.sources import store
 from helioframe.streaming import jobs, stateful
+from helioframe.streaming.refresh import FeatureStore
 from helioframe.sources.feed import parse_time, pick_feed, read_feed, require_rows, split_channels
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -662,3 +663,34 @@ def stream_scoring(spark, sf_dir):
     model = b.fixed_model(rows)
     out = _streamed(spark, rows, lambda s: jobs.stream_score(s, model).select("series", "event_id", "y_true", "y_pred", "reward"))
     return out
+
+
+def _landed(spark: SparkSession, fetches: list[DataFrame]) -> DataFrame:
+    """A stream of fetches, each one file."""
+    landing = scratch_path(spark, "landing")
+    for fetch in fetches:
+        fetch.coalesce(1).write.mode("append").parquet(landing)
+    return jobs.read_landing(spark, landing, fetches[0].schema, files_per_trigger=1)
+
+
+@query
+def stream_refresh(spark, sf_dir):
+    """Three fetches that overlap and disagree: the last one corrects part of the first and fills the gap."""
+    feed = b.feed(spark, sf_dir)
+    wrong = feed.withColumn("flux", F.when(F.col("event_id") % 5 == 0, F.col("flux") * 3).otherwise(F.col("flux")))
+    first, last = feed.agg(F.unix_seconds(F.min("time_tag").cast("timestamp")), F.unix_seconds(F.max("time_tag").cast("timestamp"))).first()
+    share = (F.unix_seconds(F.col("time_tag").cast("timestamp")) - first) / (last - first)
+    stream = _landed(spark, [wrong.filter(share < 0.4), feed.filter(share >= 0.8), feed.filter(share < 0.85)])
+    store_of = FeatureStore(scratch_path(spark, "feature-store"))
+    jobs.for_each_batch(stream, store_of.apply, scratch_path(spark, "mark")).awaitTermination()
+    return _shown(store_of.features(spark))
+
+
+@query
+def stream_snapshot(spark, sf_dir):
+    """The newest rows per series after three fetches."""
+    rows = b.unit(spark, sf_dir).select("series", "event_id", "ts", "x")
+    stream = _landed(spark, [rows.filter(F.col("event_id") % 3 == k) for k in range(3)])
+    out = scratch_path(spark, "snapshot")
+    jobs.for_each_batch(stream, jobs.snapshot_step(out, BY, ORDER), scratch_path(spark, "mark")).awaitTermination()
+    return spark.read.parquet(f"{out}/batch=2").select("series", "event_id", "x", "is_status")

@@ -3,7 +3,7 @@
 import math
 
 import pytest
-from conftest import series
+from helpers import series
 from pyspark.sql import functions as F
 
 from helioframe.functions import classify, numeric
