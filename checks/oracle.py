@@ -353,7 +353,6 @@ FROM tel WHERE rn BETWEEN 250 AND 400 ORDER BY rn LIMIT 10 OFFSET 30""")
     runs = TELEMETRY + "," + events_cte("tel", "lflux", "1e-4", "hi") + "," + events_cte("tel", "lflux", "1e-6", "lo")
     sql["flare_events"] = wq(runs, f"SELECT 1e-4::DOUBLE AS threshold, {ev}, {risk(flux_class('peak_val'))} AS type FROM hi UNION ALL SELECT 1e-6::DOUBLE, {ev}, {risk(flux_class('peak_val'))} FROM lo")
     sql["flare_events_chunked"] = sql["flare_events"]
-    sql["stream_events"] = wq(runs, 'SELECT series, start, "end", peak_val, peak_time, samples FROM hi')
     sql["latest_events"] = wq(runs, f"SELECT {ev} FROM hi ORDER BY start DESC LIMIT 6")
     sql["event_metrics"] = wq(UNIT + "," + events_cte("unit", "x", "100", "e"), f"SELECT {ev} FROM e ORDER BY start DESC LIMIT 10")
     # scoring
@@ -406,8 +405,19 @@ d AS (SELECT *, (CASE WHEN pos > 0 THEN tp / pos::DOUBLE ELSE 1 END) - (CASE WHE
     sql["roc_sweep_chunked"] = sql["roc_sweep"]
     sql["ist_time"] = "SELECT event_id, ts + INTERVAL 330 MINUTES AS local_ts FROM events"
     sql["stream_dedup"] = wq(FEED, "SELECT series, energy, time_tag, flux FROM feed")
-    sql["stream_labels"] = wq(TELEMETRY, """SELECT a.series, a.event_id, max(b.lflux) AS peak
-FROM tel a JOIN tel b ON a.series = b.series AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 4 HOURS GROUP BY a.series, a.event_id""")
+    mark = "((SELECT max(epoch_us(ts)) FROM tel) - 3600000000)"
+    sql["stream_labels"] = wq(TELEMETRY, f"""SELECT a.series, a.event_id, max(b.lflux) AS peak
+FROM tel a JOIN tel b ON a.series = b.series AND b.ts > a.ts AND b.ts <= a.ts + INTERVAL 4 HOURS
+WHERE epoch_us(a.ts) + 14400000000 <= {mark} GROUP BY a.series, a.event_id""")
+    # rows of closed buckets; the newest run of a series is open unless it has been silent for a day and a bucket
+    sql["stream_events"] = wq(TELEMETRY + f""",
+closed AS (SELECT series, event_id, ts, epoch_us(ts) AS us, lflux AS x, lflux >= 1e-4 AS loud FROM tel WHERE (epoch_us(ts) // 21600000000 + 1) * 21600000000 <= {mark}),
+marked AS (
+  SELECT *, lag(loud) OVER w AS before, us - lag(us) OVER w AS gap, row_number() OVER (PARTITION BY series ORDER BY ts DESC, event_id DESC) = 1 AS newest
+  FROM closed WINDOW w AS (PARTITION BY series ORDER BY ts, event_id)),
+named AS (SELECT *, sum(CASE WHEN loud AND (before IS DISTINCT FROM true OR gap > 86400000000) THEN 1 ELSE 0 END) OVER (PARTITION BY series ORDER BY ts, event_id) AS run FROM marked)""",
+        f"""SELECT series, min(ts) AS start, max(ts) AS "end", max(x) AS peak_val, list(ts ORDER BY x DESC, ts, event_id)[1] AS peak_time, count(*) AS samples
+FROM named WHERE loud GROUP BY series, run HAVING NOT bool_or(newest) OR max(us) + 86400000000 + 21600000000 + 1000 <= {mark}""")
     sql["stream_refresh"] = sql["feature_table"]
     sql["stream_snapshot"] = wq(UNIT, """SELECT series, event_id, x, newest = 1 AS is_status
 FROM (SELECT *, row_number() OVER (PARTITION BY series ORDER BY ts DESC, event_id DESC) AS newest FROM unit) WHERE newest <= 81""")

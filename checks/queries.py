@@ -629,23 +629,22 @@ def _streamed(spark: SparkSession, table: DataFrame, job, files: int = 4) -> Dat
     return spark.read.schema(out.schema).parquet(sink)
 
 
-def _flux_rows(spark: SparkSession, sf_dir: str, quiet_end: bool = True) -> DataFrame:
-    """Cleaned long channel, closed by one quiet row per series far behind the end."""
-    rows = b.telemetry(spark, sf_dir).df.select("series", "event_id", F.col(TIME).cast("timestamp").alias("ts"), F.col(LONG).alias("x"))
-    last = rows.groupBy("series").agg((F.max("ts") + F.make_dt_interval(days=F.lit(10))).alias("ts")).select(
-        "series", F.lit(-1).cast("long").alias("event_id"), "ts", F.lit(0.0).alias("x"))
-    return rows.unionByName(last) if quiet_end else rows
+def _flux_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cleaned long channel."""
+    return b.telemetry(spark, sf_dir).df.select("series", "event_id", F.col(TIME).cast("timestamp").alias("ts"), F.col(LONG).alias("x"))
 
 
 @query
 def stream_events(spark, sf_dir):
-    out = _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_events(s, 1e-4, "1 hour"))
+    """What the stream has emitted at its end: events up to the last closed bucket, open ones only if long silent."""
+    out = _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_events(s, 1e-4, "1 hour", 360, 1440))
     clock = {c: F.col(c).cast("timestamp_ntz") for c in ("start", "end", "peak_time")}
     return out.withColumns(clock)
 
 
 @query
 def stream_labels(spark, sf_dir):
+    """Labels of the rows whose horizon the watermark has passed."""
     return _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_labels(s, 240, "1 hour"))
 
 

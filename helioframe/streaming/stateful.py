@@ -1,126 +1,192 @@
-"""Per-series state: flare events and delayed labels of an unordered stream.
+"""Flare events and delayed labels of an unordered stream, each series spread over many tasks.
 
-Rows wait in the state until the watermark has passed them, so they are handled in time order
-whatever order they arrive in. The state of a series is the rows of one watermark delay (plus one
-horizon for labels) and, for events, the open run.
+Rows are keyed by series and time bucket, so that one series runs in as many tasks as it has open buckets.
 """
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
+from typing import Any
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 # workers need not have this package on their path
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-WAITING = "t array<bigint>, id array<bigint>, x array<double>"
-OPEN_RUN = "start bigint, stop bigint, peak double, peak_at bigint, n bigint"
-EVENTS = "series string, start timestamp, end timestamp, peak_val double, peak_time timestamp, samples bigint"
-LABELS = "series string, event_id bigint, peak double"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+RUN = "start timestamp, end timestamp, peak_val double, peak_time timestamp, samples bigint"
+PARTIAL = f"series string, bucket bigint, closes timestamp, opens boolean, stays_open boolean, {RUN}"
+EVENTS = f"series string, {RUN}"
+FIELDS = ("start", "end", "peak_val", "peak_time", "samples")
 
-Rows = tuple[np.ndarray, np.ndarray, np.ndarray]
+Run = tuple[int, int, float, int, int]
 
 
-def take_rows(stored: tuple | None, batches: Iterator[pd.DataFrame]) -> Rows:
-    """Stored and new (time, id, value) rows in time order; times in microseconds."""
-    parts = [tuple(np.asarray(v, k) for v, k in zip(stored or ((), (), ()), ("int64", "int64", "float64"), strict=True))]
-    for pdf in batches:
-        t = pdf["ts"].to_numpy().astype("datetime64[us]").astype("int64")
-        parts.append((t, pdf["event_id"].to_numpy("int64"), pdf["x"].to_numpy("float64")))
-    t, i, x = (np.concatenate(column) for column in zip(*parts, strict=True))
-    order = np.lexsort((i, t))
-    return t[order], i[order], x[order]
+def close_runs(t: np.ndarray, x: np.ndarray, threshold: float, silence: int) -> list[Run]:
+    """Maximal runs of loud rows in time order: start, end, peak, first time of the peak, rows.
 
-
-def close_runs(t: np.ndarray, x: np.ndarray, threshold: float, run: tuple | None) -> tuple[list[tuple], tuple | None]:
-    """Finished runs of the ordered rows, and the run still open after the last of them."""
-    done = []
+    A quiet row or a gap of more than ``silence`` ends a run.
+    """
     loud = x >= threshold
-    borders = np.flatnonzero(np.diff(loud)) + 1
+    borders = np.flatnonzero((loud[1:] != loud[:-1]) | (loud[1:] & (np.diff(t) > silence))) + 1
+    runs = []
     for part in np.split(np.arange(len(t)), borders):
-        if not len(part):
-            continue
-        if not loud[part[0]]:
-            if run:
+        if len(part) and loud[part[0]]:
+            top = part[np.argmax(x[part])]
+            runs.append((int(t[part[0]]), int(t[part[-1]]), float(x[top]), int(t[top]), len(part)))
+    return runs
+
+
+def joined(a: Run, b: Run) -> Run:
+    """Two neighbouring parts of one run, the earlier first."""
+    top = b if b[2] > a[2] else a
+    return a[0], b[1], top[2], top[3], a[4] + b[4]
+
+
+def _times(values: Any) -> np.ndarray:
+    return np.asarray(values, dtype="datetime64[us]")
+
+
+def _micros(column: pd.Series) -> np.ndarray:
+    return column.to_numpy().astype("datetime64[us]").astype("int64")
+
+
+class BucketRuns(StatefulProcessor):
+    """Runs of one bucket of one series, once the watermark has passed the bucket's end.
+
+    Rows wait in list state, in whatever order they come; a timer at the end of the bucket takes them in time order
+    and drops them. Rows that come later than that are late and not counted. Every bucket gives at least one line.
+    """
+
+    def __init__(self, threshold: float, width: int, silence: int):
+        self.threshold, self.width, self.silence = threshold, width, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "t bigint, id bigint, x double")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        closes = (key[1] + 1) * self.width // 1000
+        if timerValues.getCurrentWatermarkInMs() >= closes:
+            return iter(())
+        for pdf in rows:
+            self.rows.appendList(list(zip(_micros(pdf["ts"]).tolist(), pdf["event_id"].tolist(), pdf["x"].tolist(), strict=True)))
+        self.handle.registerTimer(closes)
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = sorted(tuple(r) for r in self.rows.get())
+        self.rows.clear()
+        t = np.array([r[0] for r in held], dtype="int64")
+        x = np.array([r[2] for r in held], dtype="float64")
+        runs = close_runs(t, x, self.threshold, self.silence)
+        lines: list[Run | None] = [*runs] or [None]
+        first, last = bool(runs) and runs[0][0] == t[0] and bool(x[0] >= self.threshold), bool(runs) and bool(x[-1] >= self.threshold)
+        n = len(lines)
+        columns = {c: [None if r is None else r[k] for r in lines] for k, c in enumerate(FIELDS)}
+        for c in ("start", "end", "peak_time"):
+            columns[c] = _times(columns[c])
+        yield pd.DataFrame({
+            "series": key[0], "bucket": key[1], "closes": _times([(key[1] + 1) * self.width] * n),
+            "opens": [first and k == 0 for k in range(n)], "stays_open": [last and k == n - 1 for k in range(n)], **columns})
+
+    def close(self) -> None:
+        pass
+
+
+class SeriesRuns(StatefulProcessor):
+    """Joins the runs of neighbouring buckets; a few lines per bucket, the open run in value state.
+
+    A run that is open at the end of a bucket waits for the next bucket that has rows. If the series stays silent, a
+    timer emits it once the watermark is more than ``silence`` behind its last row, and the state is dropped.
+    """
+
+    def __init__(self, width: int, silence: int):
+        self.width, self.silence = width, silence
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.open = handle.getValueState("open", "start bigint, stop bigint, peak double, peak_at bigint, samples bigint")
+
+    def _due(self, run: Run) -> int:
+        # a row within the silence may lie in a bucket that closes a width later
+        return (run[1] + self.silence + self.width) // 1000 + 1
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        held = pd.concat(list(rows)).sort_values(["bucket", "start"], kind="stable")
+        run = tuple(self.open.get()) if self.open.exists() else None
+        done: list[Run] = []
+        times = {c: _micros(held[c]) for c in ("start", "end", "peak_time")}
+        for k, (opens, stays, peak, n) in enumerate(zip(held["opens"], held["stays_open"], held["peak_val"], held["samples"], strict=True)):
+            here = None if pd.isna(n) else (int(times["start"][k]), int(times["end"][k]), float(peak), int(times["peak_time"][k]), int(n))
+            if run and here and opens and here[0] - run[1] <= self.silence:
+                run = joined(run, here)
+            else:
+                if run:
+                    done.append(run)
+                run = here
+            if run and not stays:
                 done.append(run)
-            run = None
-            continue
-        top = part[np.argmax(x[part])]
-        here = (int(t[part[0]]), int(t[part[-1]]), float(x[top]), int(t[top]), len(part))
+                run = None
         if run:
-            best = here if here[2] > run[2] else run
-            here = (run[0], here[1], best[2], best[3], run[4] + here[4])
-        run = here
-    return done, run
-
-
-def next_maximum(t: np.ndarray, x: np.ndarray, upto: int, horizon: int) -> np.ndarray:
-    """For the first ``upto`` rows: max of ``x`` over times in (t, t + horizon], NaN when none."""
-    first = np.searchsorted(t, t[:upto], "right")
-    last = np.searchsorted(t, t[:upto] + horizon, "right")
-    out = np.full(upto, np.nan)
-    # tables of maxima over 1, 2, 4, ... rows answer every range with two reads
-    level, size = x, 1
-    while (todo := (last - first >= size)).any():
-        pick = np.flatnonzero(todo & (last - first < 2 * size))
-        out[pick] = np.maximum(level[first[pick]], level[last[pick] - size])
-        if len(level) <= size:
-            break
-        level, size = np.maximum(level[:-size], level[size:]), 2 * size
-    return out
-
-
-def stream_events(rows: DataFrame, threshold: float, delay: str = "1 day") -> DataFrame:
-    """Flare events of ``(series, ts, event_id, x)``; a run is emitted when a quiet row closes it."""
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        stored = state.get if state.exists else None
-        t, i, x = take_rows(stored[:3] if stored else None, batches)
-        ripe = int(np.searchsorted(t, state.getCurrentWatermarkMs() * 1000, "right"))
-        run = tuple(stored[3:]) if stored and stored[3] is not None else None
-        done, run = close_runs(t[:ripe], x[:ripe], threshold, run)
-        state.update((t[ripe:].tolist(), i[ripe:].tolist(), x[ripe:].tolist(), *(run or (None,) * 5)))
-        if ripe < len(t):
-            state.setTimeoutTimestamp(max(int(t[ripe] // 1000), state.getCurrentWatermarkMs()) + 1)
+            self.open.update(run)
+            self.handle.registerTimer(self._due(run))
+        else:
+            self.open.clear()
         if done:
-            columns = [np.asarray(c) for c in zip(*done, strict=True)]
-            for k in (0, 1, 3):
-                columns[k] = columns[k].astype("datetime64[us]")
-            names = ("start", "end", "peak_val", "peak_time", "samples")
-            yield pd.DataFrame({"series": key[0], **dict(zip(names, columns, strict=True))})
+            yield self._frame(key, done)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        if self.open.exists():
+            run = tuple(self.open.get())
+            if self._due(run) <= expiredTimerInfo.getExpiryTimeInMs():       # else it has grown since
+                self.open.clear()
+                yield self._frame(key, [run])
+
+    def _frame(self, key: Any, runs: list[Run]) -> pd.DataFrame:
+        columns = {c: [r[k] for r in runs] for k, c in enumerate(FIELDS)}
+        for c in ("start", "end", "peak_time"):
+            columns[c] = _times(columns[c])
+        return pd.DataFrame({"series": key[0], **columns})
+
+    def close(self) -> None:
+        pass
 
+
+def stream_events(rows: DataFrame, threshold: float, delay: str = "1 day", bucket_minutes: int = 360, silence_minutes: int = 1440) -> DataFrame:
+    """Flare events of ``(series, ts, event_id, x)``: runs of rows at or above ``threshold``.
+
+    A run ends at a quiet row or before a gap of more than ``silence_minutes``. It is emitted when the watermark has
+    passed the bucket of the row that ends it, or, if the series is silent, by a timer. Rows more than ``delay`` behind
+    may be late; those whose bucket is closed are dropped.
+    """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+    width, silence = bucket_minutes * 60_000_000, silence_minutes * 60_000_000
     late = rows.withWatermark("ts", delay).select("series", "ts", "event_id", "x")
-    return late.groupBy("series").applyInPandasWithState(
-        step, EVENTS, f"{WAITING}, {OPEN_RUN}", "append", GroupStateTimeout.EventTimeTimeout)
+    placed = late.withColumn("bucket", F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint"))
+    parts = placed.groupBy("series", "bucket").transformWithStateInPandas(BucketRuns(threshold, width, silence), PARTIAL, "append", "EventTime", eventTimeColumnName="closes")
+    return parts.groupBy("series").transformWithStateInPandas(SeriesRuns(width, silence), EVENTS, "append", "EventTime")
 
 
 def stream_labels(rows: DataFrame, horizon_minutes: int, delay: str = "1 day") -> DataFrame:
-    """The maximum each row sees within the next ``horizon_minutes``, once that time has passed.
+    """The maximum each row of ``(series, ts, event_id, x)`` sees within the next ``horizon_minutes``, once that time has passed.
 
-    Labels come from rows that really arrived later, never from a table computed ahead. By time,
-    so it equals the row-count target only on a gap-free one-minute series. A row that nothing
-    follows within its horizon gets no label.
+    Labels come from rows that really arrived later, never from a table computed ahead. By time, so it equals the
+    row-count target only on a gap-free one-minute series. A row that nothing follows within its horizon gets no
+    label. An interval join of the stream with itself, both sides watermarked: a row meets what follows it in its own
+    time bucket of one horizon, where rows of the next bucket are copied too, and the maximum is a plain aggregation.
     """
-    horizon = horizon_minutes * 60_000_000
-
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        t, i, x = take_rows(state.get if state.exists else None, batches)
-        ripe = int(np.searchsorted(t, state.getCurrentWatermarkMs() * 1000 - horizon, "right"))
-        peak = next_maximum(t, x, ripe, horizon)
-        state.update((t[ripe:].tolist(), i[ripe:].tolist(), x[ripe:].tolist()))
-        if ripe < len(t):
-            due = int((t[ripe] + horizon) // 1000)
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs()) + 1)
-        seen = ~np.isnan(peak)
-        if seen.any():
-            yield pd.DataFrame({"series": key[0], "event_id": i[:ripe][seen], "peak": peak[seen]})
-
-    late = rows.withWatermark("ts", delay).select("series", "ts", "event_id", "x")
-    return late.groupBy("series").applyInPandasWithState(
-        step, LABELS, WAITING, "append", GroupStateTimeout.EventTimeTimeout)
+    width = horizon_minutes * 60_000_000
+    late = rows.withWatermark("ts", delay)
+    bucket = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
+    seen = late.select(F.col("series"), F.col("event_id"), F.col("ts"), bucket.alias("bucket"))
+    after = late.select(F.col("series").alias("f_series"), F.col("ts").alias("f_ts"), F.col("x"), F.explode(F.array(bucket, bucket - 1)).alias("f_bucket"))
+    within = F.expr(f"f_ts > ts AND f_ts <= ts + INTERVAL {horizon_minutes} MINUTES")
+    pairs = seen.join(after, F.col("series").eqNullSafe(F.col("f_series")) & (F.col("bucket") == F.col("f_bucket")) & within)
+    return pairs.groupBy("series", "event_id", "ts").agg(F.max("x").alias("peak")).select("series", "event_id", "peak")

@@ -37,15 +37,58 @@ def test_open_run_is_kept_in_state(spark, tmp_path):
     assert [(r["samples"], r["peak_val"]) for r in out] == [(3, 6.0)]
 
 
-@pytest.mark.parametrize("horizon", [1, 3, 10])
-def test_next_maximum(horizon):
+def quiet_and_loud(spark, minutes, loud, name="a"):
+    return flux(spark, minutes, [5.0 + (m % 10 == 7) if m in loud else 0.0 for m in minutes], name)
+
+
+def test_run_across_many_buckets_and_files(spark, tmp_path):
+    """A run of 30 rows over buckets of 4 minutes, in several files, is one event; a gap beyond the silence cuts it."""
+    minutes = [*range(0, 45), *range(200, 210), *range(290, 300)]
+    loud = {*range(3, 33), *range(205, 210), *range(290, 293)}
+    files = [quiet_and_loud(spark, [m for m in minutes if m in part], loud) for part in (range(0, 20), range(20, 210), range(210, 300))]
+    files.append(flux(spark, [2000], [0.0], "other"))
+    out = run(spark, tmp_path, files, lambda s: stateful.stream_events(s, 1.0, "5 minutes", bucket_minutes=4, silence_minutes=60))
+    got = sorted((r["start"].timestamp() / 60, r["end"].timestamp() / 60, r["peak_time"].timestamp() / 60, r["samples"]) for r in out.collect())
+    assert got == [(3, 32, 7, 30), (205, 209, 207, 5), (290, 292, 290, 3)]
+
+
+def test_silent_series_emits_by_timer(spark, tmp_path):
+    """Nothing ever follows the run of a; the clock of the other series lets it go, and its state with it."""
+    files = [quiet_and_loud(spark, [0, 1, 2], {1, 2}), *[flux(spark, [m], [0.0], "b") for m in (100, 300, 900)]]
+    landing = str(tmp_path / "in")
+    for f in files:
+        f.coalesce(1).write.mode("append").parquet(landing)
+    out = stateful.stream_events(jobs.read_landing(spark, landing, files[0].schema, files_per_trigger=1), 1.0, "1 minute", bucket_minutes=10, silence_minutes=60)
+    query = jobs.to_table(out, str(tmp_path / "out"), str(tmp_path / "mark"))
+    query.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [(r["series"], r["samples"], r["peak_val"]) for r in rows] == [("a", 2, 5.0)]
+    first, second = query.lastProgress["stateOperators"]
+    assert {first["operatorName"], second["operatorName"]} == {"transformWithStateInPandasExec"}
+
+
+def test_late_rows_of_closed_buckets_are_dropped(spark, tmp_path):
+    files = [quiet_and_loud(spark, [0, 1, 2, 3], {1}), flux(spark, [500], [0.0]), flux(spark, [2], [9.0]), flux(spark, [900], [0.0])]
+    out = run(spark, tmp_path, files, lambda s: stateful.stream_events(s, 1.0, "1 minute", bucket_minutes=10, silence_minutes=60)).collect()
+    assert [(r["samples"], r["peak_val"]) for r in out] == [(1, 5.0)]
+
+
+@pytest.mark.parametrize("horizon", [1, 7])
+def test_labels_by_interval_join(spark, tmp_path, horizon):
     rng = np.random.default_rng(horizon)
-    t = np.cumsum(rng.integers(0, 3, 60))
-    x = rng.random(60)
-    got = stateful.next_maximum(t, x, 50, horizon)
-    for k in range(50):
-        seen = x[(t > t[k]) & (t <= t[k] + horizon)]
-        assert (np.isnan(got[k]) and not len(seen)) or got[k] == seen.max()
+    minutes = [int(m) for m in np.unique(rng.integers(1, 90, 50))]
+    values = [round(float(v), 3) for v in rng.random(len(minutes))]
+    pairs = list(zip(minutes, values, strict=True))
+    files = [flux(spark, [m for m, _ in p], [v for _, v in p]) for p in (pairs[5:15] + pairs[:5], pairs[15:30], pairs[30:], [(400, 0.0)])]
+    landing = str(tmp_path / "in")
+    for f in files:
+        f.coalesce(1).write.mode("append").parquet(landing)
+    out = stateful.stream_labels(jobs.read_landing(spark, landing, files[0].schema, files_per_trigger=1), horizon, "60 minutes")
+    query = jobs.to_table(out, str(tmp_path / "out"), str(tmp_path / "mark"))
+    query.awaitTermination()
+    assert "symmetricHashJoin" in {o["operatorName"] for o in query.lastProgress["stateOperators"]}
+    want = {m: max(v for n, v in pairs if m < n <= m + horizon) for m in minutes if any(m < n <= m + horizon for n in minutes)}
+    assert {r["event_id"]: r["peak"] for r in spark.read.parquet(str(tmp_path / "out")).collect()} == want
 
 
 def test_snapshot_over_several_batches(spark, tmp_path):
