@@ -300,10 +300,20 @@ FROM tel GROUP BY series, ts::DATE""")
   count(*) FILTER (WHERE lflux >= 1e-6) AS total_flares_7d,
   CASE WHEN count(*) FILTER (WHERE lflux >= 1e-5) > 0 THEN 'High Magnetic Reconnection Activity' ELSE 'Nominal Quiet Sun Solar Magnetic Field' END AS astrophysical_diagnosis
 FROM feats GROUP BY series""")
-    sql["status_at"] = wq(SCORES_CTE, f"""SELECT p.series, p.rn AS current_idx, p.n AS total_rows, p.ts::VARCHAR AS "timestamp", {risk('p.cls')} AS "RiskLabel", {_dec('now')} AS "PredictedClass",
+    weight_sum = sum(abs(((7 * c + 3 * f) % 5) - 2) / 10 for c in range(4) for f in range(13)) / 4
+    logged = f"""{SCORES_CTE},
+log AS (SELECT series, rn, cls AS y_true, {_dec('now')} AS y_pred, {', '.join(f'p_now_{c} AS p{c}' for c in range(4))} FROM probs WHERE rn <= 100),
+rewards AS (SELECT series, sum({reward('y_true', 'y_pred')}::DECIMAL(18,1))::DOUBLE AS total, sum({reward('y_true', 'y_pred')}) FILTER (WHERE rn = 100) AS own FROM log GROUP BY series),
+skill_counts AS (SELECT series, count(*) AS m, {cells(lambda c: f'count(*) FILTER (WHERE {c})')}, sum({LOSS}) AS loss FROM log GROUP BY series),
+skills AS (SELECT series, {skill('m', '0.0', '0', 'loss', 4, 2)} FROM skill_counts),
+seen AS (SELECT series, max(lflux) AS peak_flux, arg_min(ts, (-lflux, ts)) AS peak_timestamp, {counts}, {r6('max(lvel) * 1e6')} AS max_flux_growth_rate, count(*) FILTER (WHERE lflux >= 1e-6) AS total_flares_7d FROM feats GROUP BY series)"""
+    sql["status_at"] = wq(logged, f"""SELECT p.series, p.rn AS current_idx, p.n AS total_rows, p.ts::VARCHAR AS "timestamp", 'feed' AS stream_source, {risk('p.cls')} AS "RiskLabel", {_dec('now')} AS "PredictedClass",
   round(p_now_1, 4) AS "CProb", round(p_now_2, 4) AS "MProb", round(p_now_3, 4) AS "XProb", p.lflux AS "GOES_LONG_FLUX", p.sflux AS "GOES_SHORT_FLUX", round(hardness, 3) AS hardness_ratio,
-  g.peak AS peak_flux, g.flares AS total_flares_7d, {_dec('4h')} AS horizon_4h_class
-FROM probs p JOIN (SELECT series, max(lflux) AS peak, count(*) FILTER (WHERE lflux >= 1e-6) AS flares FROM feats GROUP BY series) g ON p.series = g.series WHERE rn = 100""")
+  NULL::DOUBLE AS latency_ms, round(own, 2) AS reward, round(total, 1) AS cumulative_reward, p.rn + 1 AS weight_updates, 13 AS n_features, round({weight_sum}::DOUBLE, 6) AS weights_sum,
+  precision, recall, f1_score, tss, avg_latency_ms, online_loss, peak_flux, total_flares_7d, c_class_spikes, m_class_spikes, x_class_spikes, peak_timestamp,
+  CASE WHEN m_class_spikes + x_class_spikes > 0 THEN 'High Magnetic Reconnection Activity' ELSE 'Nominal Quiet Sun Solar Magnetic Field' END AS astrophysical_diagnosis, max_flux_growth_rate,
+  {_dec('4h')} AS horizon_4h_class, round(p_4h_1 + p_4h_2 + p_4h_3, 4) AS horizon_4h_flare_prob
+FROM probs p JOIN skills USING (series) JOIN rewards USING (series) JOIN seen USING (series) WHERE p.rn = 100""")
     hist = "strftime(ts, '%m/%d %H:%M') AS \"time\", ts::VARCHAR AS \"fullDate\", lflux AS \"GOES_Long\", sflux AS \"GOES_Short\""
     sql["history_slice"] = wq(TELEMETRY, f"SELECT series, rn, {hist} FROM tel WHERE rn BETWEEN 220 AND 300")
     sql["history_page"] = wq(TELEMETRY_ONE, f"""SELECT rn, {hist}, lflux >= 1e-6 AS is_peak, round(sflux / coalesce(nullif(lflux, 0), 1e-9), 3) AS hardness
@@ -371,6 +381,8 @@ SELECT event_id, """ + ", ".join(f"round(CASE WHEN a + b + b / 2 + b / 4 > 0 THE
         f"SELECT series, event_id, '{h}' AS horizon, {c} AS label, CASE {c} WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 8.0 ELSE 20.0 END AS weight, {r6('hardness')} AS f10 FROM feats" for h, c in labels.items()))
     preq = SCORES_CTE + f", d AS (SELECT series, event_id, ts, rn, cls AS y_true, {_dec('now')} AS y_pred FROM probs)"
     sql["prequential"] = wq(preq, f"SELECT series, event_id, y_true, y_pred, {reward('y_true', 'y_pred')} AS reward, round(sum({reward('y_true', 'y_pred')}::DECIMAL(18,1)) OVER ({W} ROWS UNBOUNDED PRECEDING)::DOUBLE, 1) AS cumulative_reward FROM d")
+    sql["feature_append"] = wq(preq, f"""SELECT series, event_id, rn, y_true, y_pred, {reward('y_true', 'y_pred')} AS reward,
+  round(sum({reward('y_true', 'y_pred')}::DECIMAL(18,1)) OVER ({W} ROWS UNBOUNDED PRECEDING)::DOUBLE, 1) AS cumulative_reward, rn + 1 AS weight_updates FROM d""")
     sql["stream_scoring"] = wq(preq, f"SELECT series, event_id, y_true, y_pred, {reward('y_true', 'y_pred')} AS reward FROM d")
     sql["feature_importance"] = wq(COEFS, f"SELECT {FEATURE_NAMES} AS feature, round(weight, 6) AS weight FROM named")
     sql["importance_topk"] = wq(COEFS, f"SELECT {READABLE} AS name, round(weight, 6) AS weight FROM named ORDER BY weight DESC LIMIT 5")

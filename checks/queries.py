@@ -29,7 +29,8 @@ from helioframe.plans.telemetry import feature_table as features_of
 from helioframe.plans.telemetry import prequential as prequential_of
 from helioframe.schema import FEATURE_COLUMNS, FEATURES, HORIZONS, LONG, LONG_HORIZONS, RAW_COLUMNS, SHORT, TIME
 from helioframe.session import persist_table, scratch_path
-from helioframe.sources import store
+from helioframe.sources import positions, store
+from helioframe.sources.positions import ScoredStore
 from helioframe.streaming import jobs, stateful
 from helioframe.streaming.refresh import FeatureStore
 from helioframe.sources.feed import parse_time, pick_feed, read_feed, require_rows, split_channels
@@ -237,14 +238,37 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scoring.score(rows, b.fixed_model(rows))
 
 
+def _appended(spark, sf_dir) -> tuple[ScoredStore, scoring.LinearModel]:
+    """Scored rows, appended in three batches of days."""
+    rows = _stored_features(spark, sf_dir)
+    model = b.fixed_model(rows)
+    log = positions.prediction_log(rows, model)
+    first, last = rows.agg(F.min(F.to_date(TIME)), F.max(F.to_date(TIME))).first()
+    at = ScoredStore(scratch_path(spark, "scored"))
+    third = F.floor(F.datediff(F.to_date(TIME), F.lit(first)) * 3 / ((last - first).days + 1))
+    for k in range(3):
+        at.append(log.filter(third == k), k)
+    return at, model
+
+
 @query
 def status_at(spark, sf_dir):
-    status = serving.status_at(_scored(spark, sf_dir), 100, ("series",))
+    at, model = _appended(spark, sf_dir)
+    status = at.status(spark, 100, model, source="feed")
+    ahead = F.filter("horizons", lambda h: h["horizon"] == "4h")[0]
     return status.select(
-        "series", "current_idx", "total_rows", "timestamp", "RiskLabel", "PredictedClass", "CProb", "MProb", "XProb", LONG, SHORT,
-        "hardness_ratio", "insights.peak_flux", "insights.total_flares_7d",
-        F.filter("horizons", lambda h: h["horizon"] == "4h")[0]["pred_class"].alias("horizon_4h_class"),
-    )
+        "series", "current_idx", "total_rows", "timestamp", "stream_source", "RiskLabel", "PredictedClass", "CProb", "MProb", "XProb", LONG, SHORT,
+        "hardness_ratio", "latency_ms", "reward", "cumulative_reward", "weight_updates", F.size("feature_names").alias("n_features"),
+        F.round(F.aggregate("weights", F.lit(0.0), lambda a, w: a + w), 6).alias("weights_sum"), "metrics.*", "insights.peak_flux", "insights.total_flares_7d",
+        "insights.c_class_spikes", "insights.m_class_spikes", "insights.x_class_spikes", "insights.peak_timestamp", "insights.astrophysical_diagnosis",
+        r6(F.col("insights.max_flux_growth_rate") * 1e6).alias("max_flux_growth_rate"), ahead["pred_class"].alias("horizon_4h_class"), ahead["flare_prob"].alias("horizon_4h_flare_prob"))
+
+
+@query
+def feature_append(spark, sf_dir):
+    """Three appended batches give the rows and running sums of one load."""
+    at, _ = _appended(spark, sf_dir)
+    return at.rows(spark).select("series", "event_id", "rn", "y_true", "y_pred", "reward", F.round("cumulative_reward", 1).alias("cumulative_reward"), "weight_updates")
 
 
 @query
