@@ -319,7 +319,8 @@ FROM probs p JOIN skills USING (series) JOIN rewards USING (series) JOIN seen US
     sql["history_page"] = wq(TELEMETRY_ONE, f"""SELECT rn, {hist}, lflux >= 1e-6 AS is_peak, round(sflux / coalesce(nullif(lflux, 0), 1e-9), 3) AS hardness
 FROM tel WHERE rn BETWEEN 250 AND 400 ORDER BY rn LIMIT 10 OFFSET 30""")
     shown = "coalesce(nullif(lflux, 0), 1e-7)"
-    sql["display_scales"] = wq(TELEMETRY, f"""SELECT series, event_id, {r6(f'least(1.0, greatest(0.1, log10({shown}) + 9) / 6)')} AS normalised, {r6('sflux * 1e7')} AS gauge,
+    sql["display_scales"] = wq(TELEMETRY, f"""SELECT series, event_id, {r6(f'least(1.0, greatest(0.1, log10({shown}) + 9) / 6)')} AS normalised, {r6('sflux * 1e7')} AS gauge, round((sflux + 1.3e-15) * 1e7, 1) AS gauge_value,
+  round(least(1.0, greatest(0.1, log10({shown}) + 9) / 6) * 100)::INTEGER AS normalised_percent,
   {r6('least(100.0, sflux * 1e7 * 10)')} AS gauge_percent, {r6('least(100.0, sflux / (lflux + 1e-12) * 1500)')} AS hardness_percent FROM tel""")
     sql["reward_label"] = wq(PREDICTIONS, f"""SELECT event_id, CASE {reward('y_true', 'y_pred')} WHEN 5.0 THEN 'X-CLASS CORRECT' WHEN 2.0 THEN 'M-CLASS CORRECT' WHEN -20.0 THEN 'MISSED X-CLASS' WHEN -8.0 THEN 'MISSED M-CLASS' ELSE '' END AS label FROM pred""")
     # join
@@ -370,6 +371,7 @@ FROM tel WHERE rn BETWEEN 250 AND 400 ORDER BY rn LIMIT 10 OFFSET 30""")
     sql["standardize"] = wq(STATS_CTE, "SELECT series, event_id, " + ", ".join(f"{r6(f'z{i}')} AS z{i}" for i in range(13)) + " FROM z")
     sql["sample_weight"] = wq(PREDICTIONS, "SELECT event_id, CASE y_true WHEN 0 THEN 0.5::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 8.0 ELSE 20.0 END AS weight FROM pred")
     sql["linear_score"] = wq(SCORES_CTE, "SELECT series, event_id, " + ", ".join(f"{r6(f's_{h}_{c}')} AS s_{h}_{c}" for h in HEADS for c in range(4)) + " FROM scores")
+    sql["model_roundtrip"] = wq(SCORES_CTE, f"SELECT series, event_id, rn, {_dec('now')} AS pred_class, " + ", ".join(f"{r6(f'p_now_{c}')} AS p{c}" for c in range(4)) + " FROM probs")
     sql["prob_normalize"] = """WITH raw AS (SELECT event_id, CASE user_id % 5 WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 1.0 WHEN 2 THEN 0.0 WHEN 3 THEN 0.0 ELSE value / 100 END AS a,
   CASE WHEN user_id % 5 = 3 THEN 0.0 ELSE value END AS b FROM events)
 SELECT event_id, """ + ", ".join(f"round(CASE WHEN a + b + b / 2 + b / 4 > 0 THEN {x} / (a + b + b / 2 + b / 4) ELSE 0.25 END, 6) AS p{c}" for c, x in enumerate(("a", "b", "b / 2", "b / 4"))) + " FROM raw"
@@ -398,6 +400,17 @@ FROM (SELECT *, quantile_cont(x, 0.5) OVER ({six}) AS med, coalesce(stddev_samp(
     sql["qpp_variance"] = wq(UNIT, f"SELECT series, event_id, {r6('v')} AS variance, v > 900 AS is_burst FROM (SELECT *, coalesce(var_samp(x) OVER ({rng.format(7200)}), 0) AS v FROM unit)")
     sync = TELEMETRY + "," + events_cte("tel", "lflux", "1e-5", "soft") + "," + events_cte("tel", "sflux", "5e-6", "hard")
     sql["event_sync"] = wq(sync, "SELECT s.series, s.start AS soft_start, s.peak_time AS soft_peak, max(h.peak_time) AS hard_peak FROM soft s JOIN hard h ON s.series = h.series AND h.peak_time BETWEEN s.start AND s.peak_time GROUP BY ALL")
+    def flagged(name: str, source: str, flag: str, gap: int) -> str:
+        return f""",
+{name}_rows AS (SELECT *, epoch_us(ts) - lag(epoch_us(ts)) OVER w > {gap * 60_000_000} AS apart FROM {source} WHERE {flag} WINDOW w AS (PARTITION BY series ORDER BY ts, event_id)),
+{name}_named AS (SELECT *, sum(coalesce(apart, true)::INT) OVER (PARTITION BY series ORDER BY ts, event_id) AS run FROM {name}_rows),
+{name} AS (SELECT series, min(ts) AS start, max(ts) AS "end", max(x) AS peak_val, list(ts ORDER BY x DESC, ts)[1] AS peak_time, count(*) AS samples FROM {name}_named GROUP BY series, run)"""
+
+    detected = UNIT + f""",
+med AS (SELECT *, x > m + 0.5::DOUBLE * sd AS is_outlier FROM (SELECT *, quantile_cont(x, 0.5) OVER ({six}) AS m, coalesce(stddev_samp(x) OVER ({six}), 0) AS sd FROM unit)),
+var AS (SELECT *, coalesce(var_samp(x) OVER ({rng.format(7200)}), 0) > 900 AS is_burst FROM unit)""" + flagged("soft", "med", "is_outlier", 120) + flagged("hard", "var", "is_burst", 60)
+    sql["detector_events"] = wq(detected, "SELECT *, 'median' AS detector FROM soft UNION ALL SELECT *, 'variance' FROM hard")
+    sql["detector_sync"] = wq(detected, "SELECT s.series, s.start AS soft_start, s.peak_time AS soft_peak, max(h.peak_time) AS hard_peak FROM soft s JOIN hard h ON s.series = h.series AND h.peak_time BETWEEN s.start AND s.peak_time GROUP BY ALL")
     cat = runs + """,
 cat AS (SELECT series, epoch_us(start) AS catalog_id, start + to_minutes(((samples % 7) - 3) * 20) AS peak_ts FROM hi),
 cov AS (SELECT DISTINCT series, epoch_us(ts) // 3600000000 AS bucket FROM tel),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,12 +25,13 @@ from helioframe.operators.kernel import poly_filter
 from helioframe.operators.rolling import rolling_log_std
 from helioframe.operators.rolling import rolling_var as variance_of
 from helioframe.operators.timeline import RN, Timeline, build_timeline
-from helioframe.plans.telemetry import add_features, build_telemetry
+from helioframe.plans.telemetry import add_features, build_telemetry, features_from_table
 from helioframe.plans.telemetry import feature_table as features_of
 from helioframe.plans.telemetry import prequential as prequential_of
 from helioframe.schema import FEATURE_COLUMNS, FEATURES, HORIZONS, LONG, LONG_HORIZONS, RAW_COLUMNS, SHORT, TIME
 from helioframe.session import persist_table, scratch_path
 from helioframe.sources import positions, store
+from helioframe.sources.pipeline import prediction_pipeline
 from helioframe.sources.positions import ScoredStore
 from helioframe.streaming import jobs, stateful
 from helioframe.streaming.refresh import FeatureStore
@@ -238,8 +240,18 @@ def _scored(spark, sf_dir) -> DataFrame:
     return scoring.score(rows, b.fixed_model(rows))
 
 
+_STORES: dict[tuple[str, str], tuple[ScoredStore, scoring.LinearModel]] = {}
+
+
 def _appended(spark, sf_dir) -> tuple[ScoredStore, scoring.LinearModel]:
-    """Scored rows, appended in three batches of days."""
+    """Scored rows, appended in three batches of days: once per session and folder, as a status reads a stored table."""
+    known = spark.sparkContext.applicationId, sf_dir
+    if known not in _STORES:
+        _STORES[known] = _append(spark, sf_dir)
+    return _STORES[known]
+
+
+def _append(spark, sf_dir) -> tuple[ScoredStore, scoring.LinearModel]:
     rows = _stored_features(spark, sf_dir)
     model = b.fixed_model(rows)
     log = positions.prediction_log(rows, model)
@@ -287,7 +299,10 @@ def history_page(spark, sf_dir):
 def display_scales(spark, sf_dir):
     rows = b.telemetry(spark, sf_dir).df
     ratio = numeric.hardness(F.col(SHORT), F.col(LONG))
+    whole = display.percent(display.normalised_flux(F.col(LONG)))
+    # the shift decides values that lie between two roundings
     return rows.select("series", "event_id", r6(display.normalised_flux(F.col(LONG))).alias("normalised"), r6(F.col(SHORT) * 1e7).alias("gauge"),
+                       display.gauge_value(F.col(SHORT) + b.SHIFT * 1e-7).alias("gauge_value"), whole.alias("normalised_percent"),
                        r6(display.gauge_percent(F.col(SHORT))).alias("gauge_percent"), r6(display.hardness_percent(ratio)).alias("hardness_percent"))
 
 
@@ -584,6 +599,26 @@ def qpp_variance(spark, sf_dir):
     return out.select("series", "event_id", r6("variance").alias("variance"), "is_burst")
 
 
+def _detected(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Soft events by the median detector, hard ones by the variance detector."""
+    rows = b.unit(spark, sf_dir)
+    soft = instruments.median_3sigma(rows, "x", BY, "ts", minutes=360, sigmas=0.5)
+    hard = instruments.pulsation_variance(rows, "x", BY, "ts", seconds=7200, threshold=900.0)
+    return instruments.flag_events(soft, "is_outlier", "x", BY, "ts", 120), instruments.flag_events(hard, "is_burst", "x", BY, "ts", 60)
+
+
+@query
+def detector_events(spark, sf_dir):
+    soft, hard = _detected(spark, sf_dir)
+    return soft.withColumn("detector", F.lit("median")).unionByName(hard.withColumn("detector", F.lit("variance")))
+
+
+@query
+def detector_sync(spark, sf_dir):
+    soft, hard = (persist_table(e, "detected") for e in _detected(spark, sf_dir))
+    return instruments.event_sync(soft, hard, BY)
+
+
 @query
 def event_sync(spark, sf_dir):
     tl = b.telemetry(spark, sf_dir)
@@ -672,6 +707,17 @@ def stream_labels(spark, sf_dir):
     return _streamed(spark, _flux_rows(spark, sf_dir), lambda s: stateful.stream_labels(s, 240, "1 hour"))
 
 
+@query
+def model_roundtrip(spark, sf_dir):
+    """Feature and scoring steps saved as one pipeline, loaded again and applied to the raw table."""
+    raw = persist_table(_raw(b.telemetry(spark, sf_dir)), "raw")
+    model = b.fixed_model(features_from_table(raw, BY, (TIME, "event_id")))
+    path = scratch_path(spark, "pipeline")
+    prediction_pipeline(model, BY, (TIME, "event_id")).write().overwrite().save(path)
+    out = PipelineModel.load(path).transform(raw)
+    return out.select("series", "event_id", "rn", "pred_class", *[r6(F.col("probs")[c]).alias(f"p{c}") for c in range(4)])
+
+
 @query
 def stream_dedup(spark, sf_dir):
     """Every record lands twice, as overlapping fetches do."""

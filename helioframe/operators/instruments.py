@@ -60,6 +60,24 @@ def pulsation_variance(
     return out.withColumn("is_burst", F.col("variance") > threshold)
 
 
+def flag_events(df: DataFrame, flag: str, col: str, by: Sequence[str], ts: str, gap_minutes: float) -> DataFrame:
+    """Events of a detector: flagged rows of a series that follow each other within ``gap_minutes``.
+
+    Rows of one bucket as wide as the gap belong together anyway: they are reduced before the shuffle, and session
+    windows as long as each bucket's own span plus the gap join what is left. The peak is the first row of the maximum.
+    """
+    gap = int(gap_minutes * 60_000_000)
+    first_peak = F.struct(-F.col(col), F.col(ts))
+    flagged = df.filter(F.col(flag)).withColumn("_bucket", F.floor(micros(F.col(ts)) / gap))
+    parts = flagged.groupBy(*by, "_bucket").agg(
+        F.min(ts).alias("_start"), F.max(ts).alias("_end"), F.max(col).alias("_peak"), F.min_by(ts, first_peak).alias("_at"), F.count(F.lit(1)).alias("_n"))
+    span = ((micros(F.col("_end")) - micros(F.col("_start")) + gap) / 1e6).cast("decimal(18,6)")
+    events = parts.groupBy(*by, F.session_window("_start", F.make_interval(secs=span)).alias("_session")).agg(
+        F.min("_start").alias("start"), F.max("_end").alias("end"), F.max("_peak").alias("peak_val"),
+        F.min_by("_at", F.struct(-F.col("_peak"), F.col("_at"))).alias("peak_time"), F.sum("_n").alias("samples"))
+    return events.drop("_session")
+
+
 def event_sync(soft: DataFrame, hard: DataFrame, by: Sequence[str], **layout) -> DataFrame:
     """Pairs of a soft event and the hard peak inside [soft start, soft peak] nearest to its peak.
 
