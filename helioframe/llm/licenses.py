@@ -6,8 +6,8 @@
    anchors count.
 2. Each block is compressed alone and with every template as a raw Zstandard dictionary. What the template
    saves is its information about the block; templates are ranked by the bytes saved.
-3. The best ``TRIES`` are confirmed on words: the template is aligned with the block, and the words to delete
-   and insert between its first and last common word are the wording differences. A template is confirmed if
+3. All that save anything are confirmed on words, best first: the template is aligned with the block, and the words
+   to delete and insert between its first and last common word are the wording differences. A template is confirmed if
    they are at most ``ALLOWED`` of its words. The confirmed stretch is blanked and the block ranked again, so
    several notices in one block are all found.
 """
@@ -29,7 +29,6 @@ from helioframe.llm.text import ready
 NEAR = 2
 REACH = 4096
 MARGIN = 600           # characters of the lines before and after
-TRIES = 3
 ALLOWED = 0.1
 LEVEL = 3
 
@@ -175,7 +174,7 @@ def scan(text: str) -> list[tuple]:
             plain, ranked = rank(block.encode())
             tokens, spans = words(block)
             found = None
-            for place, (saved, size, name) in enumerate(ranked[:TRIES], 1):
+            for place, (saved, size, name) in enumerate(ranked, 1):
                 hit = confirm(name, tokens)
                 if hit is not None:
                     found = place, saved, size, name, hit

@@ -29,10 +29,11 @@ from helioframe.session import persist_table, scratch_path
 
 MIN_BYTES = 1000
 SPLIT_BYTES = 8 << 20
+MOST_TASKS = 20_000
 HEAD_BYTES = 1 << 16          # read behind a split at once; longer heads are read on
 MAGIC = b"WARC/1.1\r\n"
 DATE = "2024-01-01T00:00:00Z"
-_LENGTH = rb"\r\nContent-Length: (\d+)\r\n"
+_LENGTH = rb"\r\nContent-Length: (\d{1,18})\r\n"      # longer numbers are no lengths
 
 FILES = "folder string, file string, bytes bigint, records bigint"
 RECORDS = "page_id bigint, url string, payload_bytes bigint, payload_digest string, record_type string, refers_to bigint, payload binary, file string, offset bigint"
@@ -97,8 +98,13 @@ def write_warc(pages: DataFrame, key: str = "page_id", url: str = "url", html: s
 def _split_table(files: DataFrame, split_bytes: int) -> DataFrame:
     start = F.explode(F.expr(f"sequence(0L, bytes - 1, {split_bytes}L)"))
     splits = files.filter("bytes > 0").select("folder", "file", "bytes", start.alias("start"))
-    # spread over the cluster; the row itself is a few bytes
-    return splits.repartition(F.col("file"), F.col("start"))
+    return splits.repartition(_tasks(files, split_bytes), F.col("file"), F.col("start"))
+
+
+def _tasks(files: DataFrame, split_bytes: int) -> int:
+    """A task per split: the rows that name splits are a few bytes, so without a number Spark would merge them all."""
+    splits = files.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    return max(1, min(int(splits), MOST_TASKS))
 
 
 class Split:
@@ -191,7 +197,7 @@ def read_warc(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """
     entries = reachable_entries(files, split_bytes)
     rows = entries.join(files.select("folder", "file", "bytes"), ["folder", "file"]).filter("offset < bytes")
-    rows = rows.select("folder", "file", "bytes", "offset").repartition(F.col("file"), F.col("offset"))
+    rows = rows.select("folder", "file", "bytes", "offset").repartition(_tasks(files, split_bytes), F.col("file"), F.col("offset"))
     names = [c.split()[0] for c in RECORDS.split(", ")]
     types = [{"bigint": pa.int64(), "string": pa.string(), "binary": pa.binary()}[c.split()[1]] for c in RECORDS.split(", ")]
 

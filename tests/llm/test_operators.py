@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -68,6 +69,27 @@ def test_license_templates(name):
     assert licenses.words(text[hit[1]:hit[2]])[0] == licenses.words(licenses.TEMPLATES[name])[0]
 
 
+def test_every_exact_notice_is_reported():
+    """Brute force: wherever a text holds all words of a template in a row, a finding covers them."""
+    texts = [r[0] for r in duckdb.sql("SELECT text FROM '/root/testdata/sf0.01/documents.parquet' WHERE text IS NOT NULL").fetchall()]
+    every = "\n".join(f"{name}\n{t}" for name, t in licenses.TEMPLATES.items())
+    seen = 0
+    for text in [*texts, every, "Licensed under the Apache License. See GPL. Released under the MIT License."]:
+        tokens, spans = licenses.words(text)
+        line = f" {' '.join(tokens)} "
+        hits = None
+        for name in licenses.TEMPLATES:
+            wanted = licenses.words(licenses.TEMPLATES[name])[0]
+            at = line.find(f" {' '.join(wanted)} ")
+            if at >= 0:
+                hits = licenses.scan(text) if hits is None else hits
+                first = line[:at + 1].count(" ") - 1
+                begin, end = spans[first][0], spans[first + len(wanted) - 1][1]
+                assert any(h[1] <= begin and h[2] >= end for h in hits), (name, text[max(0, begin - 80):end + 40])
+                seen += 1
+    assert seen > 40
+
+
 def test_license_wording():
     changed = licenses.TEMPLATES["MIT"].replace("merge, publish", "merge and publish").replace("free of charge", "gratis")
     [hit] = licenses.scan("x" * 50_000 + " " + changed.replace("\n", " ") + " " + "y " * 20_000)
@@ -354,6 +376,21 @@ def test_warc_splits(spark, folder, split):
         assert warc.boundary_candidates(files, split).count() > files.agg({"records": "sum"}).first()[0]
 
 
+def test_warc_heads_with_absurd_lengths(spark):
+    """A record head inside a payload whose length has 5,000 digits is no record."""
+    inner = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: " + "9" * 5000 + "\r\n\r\nhello\r\n\r\n"
+    files = warc.write_warc(spark.createDataFrame([(1, "http://a", inner * 3), (2, "http://b", "x")], "page_id bigint, url string, html string"))
+    assert {(r.page_id, r.payload_bytes) for r in warc.read_warc(files, 700).collect()} == {(1, len(inner) * 3), (2, 1)}
+
+
+def test_warc_splits_are_read_by_many_tasks(spark):
+    pages = spark.range(40).selectExpr("id AS page_id", "concat('http://', id) AS url", "repeat(md5(string(id)), 64) AS html").repartition(1)
+    files = warc.write_warc(pages)
+    split = files.first()["bytes"] // 20 + 1
+    for rows in (warc.boundary_candidates(files, split), warc.read_warc(files, split)):
+        assert rows.select(F.spark_partition_id().alias("p")).distinct().count() > 5
+
+
 # -- the pipeline --------------------------------------------------------------
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
