@@ -417,6 +417,11 @@ cov AS (SELECT DISTINCT series, epoch_us(ts) // 3600000000 AS bucket FROM tel),
 onl AS (SELECT * FROM cat WHERE EXISTS (SELECT 1 FROM cov WHERE cov.series = cat.series AND cov.bucket = epoch_us(peak_ts) // 3600000000)),
 hit AS (SELECT onl.*, EXISTS (SELECT 1 FROM hi WHERE hi.series = onl.series AND epoch_us(peak_ts) BETWEEN epoch_us(hi.start) - 600000000 AND epoch_us(hi."end") + 600000000) AS detected FROM onl)"""
     sql["catalog_recall"] = wq(cat, "SELECT series, count(*) AS online, count(*) FILTER (WHERE detected) AS matched, round(count(*) FILTER (WHERE detected) / count(*)::DOUBLE, 6) AS recall FROM hit GROUP BY series")
+    parts = " UNION ALL ".join(
+        f"SELECT '{h}' AS horizon, {_dec(h)} AS pred_class, {flux_class(f'peak_{h}') if h in HORIZONS else 'cls'} AS y_true FROM probs WHERE rn >= floor(n * 0.8::DOUBLE)" for h in HEADS)
+    sql["holdout_tss"] = wq(SCORES_CTE + f", held AS ({parts}), kinds AS (SELECT unnest([2, 3]) AS class), b AS (SELECT horizon, class, count(*) FILTER (WHERE y_true = class AND pred_class = class) AS tp, "
+        "count(*) FILTER (WHERE y_true = class) AS pos, count(*) FILTER (WHERE y_true <> class AND pred_class = class) AS fp, count(*) FILTER (WHERE y_true <> class) AS neg FROM held, kinds GROUP BY horizon, class)",
+        "SELECT horizon, class, tp, pos, fp, neg, round((CASE WHEN pos > 0 THEN tp / pos::DOUBLE ELSE 1 END) - (CASE WHEN neg > 0 THEN fp / neg::DOUBLE ELSE 0 END), 6) AS tss FROM b")
     sql["chrono_split"] = wq(UNIT, "SELECT series, event_id, rn < floor(n * 0.8::DOUBLE) AS is_train FROM unit")
     sql["tss_by_class"] = wq(FORECAST_CTE + ", kinds AS (SELECT unnest([2, 3]) AS class), b AS (SELECT horizon, class, count(*) FILTER (WHERE y_true = class AND pred_class = class) AS tp, count(*) FILTER (WHERE y_true = class) AS pos, "
         "count(*) FILTER (WHERE y_true <> class AND pred_class = class) AS fp, count(*) FILTER (WHERE y_true <> class) AS neg FROM fc, kinds GROUP BY horizon, class)",

@@ -25,6 +25,7 @@ from helioframe.operators.kernel import poly_filter
 from helioframe.operators.rolling import rolling_log_std
 from helioframe.operators.rolling import rolling_var as variance_of
 from helioframe.operators.timeline import RN, Timeline, build_timeline
+from helioframe.plans import holdout
 from helioframe.plans.telemetry import add_features, build_telemetry, features_from_table
 from helioframe.plans.telemetry import feature_table as features_of
 from helioframe.plans.telemetry import prequential as prequential_of
@@ -652,6 +653,14 @@ def tss_by_class(spark, sf_dir):
     return evaluation.tss_by_class(rows, ["horizon"]).withColumn("tss", F.round("tss", 6))
 
 
+@query
+def holdout_tss(spark, sf_dir):
+    """Skill by look-ahead and class on the last fifth of every series."""
+    rows = _stored_features(spark, sf_dir)
+    model = b.fixed_model(rows)
+    return holdout.holdout_skill(rows, lambda train: model, BY).withColumn("tss", F.round("tss", 6))
+
+
 def _roc(spark, sf_dir, **layout):
     rows = b.predictions(spark, sf_dir).select(
         "series", (F.col("probs")[2] + F.col("probs")[3]).alias("p"), (F.col("y_true") >= 2).alias("t"))

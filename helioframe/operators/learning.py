@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
 from pyspark.ml.functions import array_to_vector
@@ -37,21 +38,20 @@ def training_set(features: DataFrame, keys: Sequence[str], horizons: Sequence[st
 def fit_models(features: DataFrame, max_iter: int = 100, horizons: Sequence[str] = tuple(HORIZONS)) -> LinearModel:
     """Six weighted one-vs-rest logistic models with L2, fitted to convergence.
 
-    The standardised table is written once in the shared folder; every fit reads it from there
-    instead of recomputing windows per iteration.
+    Features and labels are written once in the shared folder; the scaler and every fit read them from there. The
+    heads are independent of each other and fitted side by side.
     """
-    scaler = fit_scaler(features)
     labels = label_columns(horizons)
-    z = standardize(features, scaler)
-    table = persist_table(z.select(
-        array_to_vector(F.array(*[F.col(f"z_{f}") for f in FEATURES])).alias("features"),
-        *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y_{h}") for h, c in labels.items()],
-    ), "training")
-    heads = {}
-    for h in labels:
+    stored = persist_table(features.select(*FEATURES, *[F.coalesce(F.col(c).cast("int"), F.lit(0)).alias(f"y_{h}") for h, c in labels.items()]), "training")
+    scaler = fit_scaler(stored)
+    table = standardize(stored, scaler).select(array_to_vector(F.array(*[F.col(f"z_{f}") for f in FEATURES])).alias("features"), *[f"y_{h}" for h in labels])
+
+    def fitted(h: str) -> Head:
         rows = table.select("features", F.col(f"y_{h}").cast("double").alias("label"))
-        rows = rows.withColumn("weight", sample_weight(F.col("label").cast("int")))
-        heads[h] = _one_vs_rest(rows, max_iter)
+        return _one_vs_rest(rows.withColumn("weight", sample_weight(F.col("label").cast("int"))), max_iter)
+
+    with ThreadPoolExecutor(max_workers=len(labels)) as pool:
+        heads = dict(zip(labels, pool.map(fitted, labels), strict=True))
     return LinearModel(scaler, heads)
 
 

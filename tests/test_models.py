@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from checks import bindings as b
 from helioframe.operators import evaluation, learning, scoring
 from helioframe.operators.timeline import build_timeline
+from helioframe.plans import holdout
 from helioframe.plans.telemetry import build_telemetry, feature_table
 from helioframe.schema import FEATURES, LONG
 from helioframe.session import persist_table
@@ -89,3 +90,21 @@ def test_missing_class_gets_no_score(spark, features):
     quiet = features.filter("PredictedClass < 3")
     fitted = learning.fit_models(quiet, max_iter=5, horizons=())
     assert scoring.score(quiet, fitted).agg(F.max(F.col("probs")[3])).first()[0] < 1e-6
+
+
+def test_holdout_skill_of_a_fitted_model(features):
+    """The fit sees the first four fifths of every series only, and finds severe flares in the rest."""
+    seen = []
+
+    def fit(train):
+        seen.append(train)
+        return learning.fit_models(train, max_iter=30, horizons=("15m",))
+
+    skill = {(r["horizon"], r["class"]): r for r in holdout.holdout_skill(features, fit, b.BY, classes=(1, 2, 3)).collect()}
+    assert set(skill) == {(h, c) for h in ("now", "15m") for c in (1, 2, 3)}
+    held = features.join(seen[0].select("event_id"), "event_id", "left_anti")
+    assert seen[0].count() + held.count() == features.count()
+    ends, starts = seen[0].groupBy("series").agg(F.max("rn").alias("last")), held.groupBy("series").agg(F.min("rn").alias("first"))
+    assert ends.join(starts, "series").filter("first != last + 1").count() == 0
+    assert skill["now", 3]["pos"] + skill["now", 3]["neg"] == held.count()
+    assert skill["now", 3]["tss"] > 0.5
