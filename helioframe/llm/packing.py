@@ -6,7 +6,10 @@ after a sentence (``SENTENCE``) or, inside a sentence longer than ``LONG``, afte
 
     f[j] = penalty[j] + min over i with c[j] - c[i] <= L of f[i] + L - (c[j] - c[i])
 
-whose inner minimum of ``f[i] + c[i]`` over a sliding window is kept in a monotone queue: linear time.
+With g = f + c the inner minimum is one of g over a sliding window, which a monotone queue gives in linear time.
+The queue is worked block by block of L positions: a window is the end of one block and the beginning of the next. The
+first part is a running minimum from the block's end. In the second only values that come from the block before can
+win, as a cut adds L and a penalty to what it starts from; they are known for the whole block at once.
 The stream is handled ``CHUNK`` ids at a time; sequences that end near the end of a chunk are planned again
 with the next one, so memory is bounded by a chunk and one document. Sequences whose length is a power of
 two need no padding: what is left at the end of a task is cut into such lengths if that costs less.
@@ -14,7 +17,6 @@ two need no padding: what is left at the end of a task is cut into such lengths
 
 from __future__ import annotations
 
-from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -43,10 +45,11 @@ def candidates(ids: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, n
     if len(ids) > 1 and len(ends) and ends[-1] == len(ids) - 1:
         ends = ends[:-1]          # the id that ends the document stays with its last sentence
     edges = np.concatenate([[0], ends, [len(ids)]])
-    gaps = np.flatnonzero(np.diff(edges) > LONG)
-    forced = [np.arange(edges[g] + GRID, edges[g + 1], GRID) for g in gaps]
-    cuts = np.concatenate([ends, *forced, [len(ids)]]).astype(np.int64)
-    cost = np.concatenate([np.full(len(ends), SENTENCE), *[np.full(len(x), FORCED) for x in forced], [0.0]])
+    steps = np.where(np.diff(edges) > LONG, (np.diff(edges) - 1) // GRID, 0)
+    nth = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1
+    forced = np.repeat(edges[:-1], steps) + GRID * nth
+    cuts = np.concatenate([ends, forced, [len(ids)]]).astype(np.int64)
+    cost = np.concatenate([np.full(len(ends), SENTENCE), np.full(len(forced), FORCED), [0.0]])
     order = np.argsort(cuts, kind="stable")
     return cuts[order], cost[order]
 
@@ -57,25 +60,26 @@ def best_cuts(cuts: np.ndarray, cost: np.ndarray, length: int = LENGTH, last: bo
     What follows the last position returned, at most ``length`` ids, is left open: with ``last`` at the price of
     ``tail``, otherwise for nothing, as more documents follow.
     """
-    at, price = [0, *cuts.tolist()], [0.0, *cost.tolist()]
-    best, back = [0.0] * len(at), [0] * len(at)
-    queue: deque[tuple[float, int]] = deque([(0.0, 0)])
-    for j in range(1, len(at)):
-        while at[j] - at[queue[0][1]] > length:
-            queue.popleft()
-        low, back[j] = queue[0]
-        best[j] = price[j] + length - at[j] + low
-        mine = best[j] + at[j]
-        while queue and queue[-1][0] >= mine:
-            queue.pop()
-        queue.append((mine, j))
-    j = len(at) - 1
-    open_ends = [i for i in range(j, -1, -1) if at[j] - at[i] <= length]
-    j = min(open_ends, key=lambda i: best[i] + (price_of_tail(at[-1] - at[i], length) if last else 0.0))
+    at, price = np.concatenate([[0], cuts]), np.concatenate([[0.0], cost]) + length
+    first = np.searchsorted(at, at - length)
+    blocks = np.searchsorted(at, np.arange(0, at[-1] + length, length), side="right").tolist()
+    g = np.zeros(len(at))
+    before = 0
+    for low, high in zip(blocks, blocks[1:], strict=False):
+        least = np.append(np.minimum.accumulate(g[before:low][::-1])[::-1], np.inf)
+        here = price[low:high] + least[first[low:high] - before]
+        g[low:high] = here
+        np.minimum(here[1:], price[low + 1:high] + np.minimum.accumulate(here)[:-1], out=g[low + 1:high])
+        before = low
+    opened = int(first[-1])
+    total = g[opened:] - at[opened:]
+    if last:
+        total += [price_of_tail(rest, length) for rest in (at[-1] - at[opened:]).tolist()]
+    j = len(at) - 1 - int(np.argmin(total[::-1]))
     ends = []
     while j:
-        ends.append(at[j])
-        j = back[j]
+        ends.append(int(at[j]))
+        j -= 1 + int(np.argmin(g[first[j]:j][::-1]))
     return ends[::-1]
 
 

@@ -1,10 +1,10 @@
 """Token ids of whole texts, with a cache of words.
 
 The tokenizers of this kind drop white space and never join characters across it, so the ids of a text
-are the ids of its words in a row. A text is cut at white space (and before punctuation that follows a
-Latin letter, where the tokenizer's own pattern cuts too); words seen before come from a bounded cache,
-the others go to the library. ASCII letters are lower-cased first, as the tokenizer itself does. Texts
-that may hold a special token's name go to the library whole.
+are the ids of its words in a row. Words seen before come from a bounded cache. The others are cut before
+punctuation that follows a Latin letter, where the tokenizer's own pattern cuts too, and their parts go to the
+library. ASCII letters are lower-cased first, as the tokenizer itself does. Texts that may hold a special
+token's name go to the library whole.
 """
 
 from __future__ import annotations
@@ -19,6 +19,7 @@ import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
 CACHE_WORDS = 800_000
+CACHED_BYTES = 64          # longer words are not kept beyond their text
 END_ID = 1
 
 _CUT = re.compile(rb"(?:(?<=[a-z])|(?<=\xc3[\xa0-\xb6\xb8-\xbf]))(?=[.,!?;:$%&*#|])")
@@ -50,26 +51,35 @@ class WordEncoder:
         """Ids of one UTF-8 text as little-endian unsigned numbers of ``dtype``."""
         if not self.by_word or b"<|" in text:
             return self._ids(self.whole.encode(text.decode(), add_special_tokens=False).ids)
-        words = _CUT.sub(b" ", text.lower()).split()
+        words = text.lower().split()
         found = list(map(self.cache.get, words))
         if None in found:
             if len(self.cache) > self.cache_words:
                 self.cache = {}
-            self._learn(list(dict.fromkeys(w for w in words if w not in self.cache)))
-            found = map(self.cache.__getitem__, words)
+            learned = self._learn({w for w, ids in zip(words, found, strict=True) if ids is None})
+            found = [learned[w] if ids is None else ids for w, ids in zip(words, found, strict=True)]
         return b"".join(found)
 
     def _ids(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def _learn(self, words: list[bytes]) -> None:
-        plain, other = [], []
-        for word in words:
-            text = word.decode()
-            (plain if _PLAIN.fullmatch(text) else other).append((word, text))
-        for tokenizer, rows in ((self.plain, [(w, t.lower()) for w, t in plain]), (self.whole, other)):
+    def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """Ids of words; short ones and their parts are cached."""
+        parts = {w: _CUT.sub(b" ", w).split() for w in words}
+        known, plain, other = {}, [], []
+        for part in {p for cut in parts.values() for p in cut}:
+            if part in self.cache:
+                known[part] = self.cache[part]
+                continue
+            text = part.decode()
+            (plain if _PLAIN.fullmatch(text) else other).append((part, text))
+        for tokenizer, rows in ((self.plain, [(p, t.lower()) for p, t in plain]), (self.whole, other)):
             encoded = tokenizer.encode_batch_fast([t for _, t in rows], add_special_tokens=False)
-            self.cache.update((w, self._ids(e.ids)) for (w, _), e in zip(rows, encoded, strict=True))
+            known.update((p, self._ids(e.ids)) for (p, _), e in zip(rows, encoded, strict=True))
+        learned = {w: b"".join([known[p] for p in cut]) for w, cut in parts.items()}
+        for some in (known, learned):
+            self.cache.update((w, ids) for w, ids in some.items() if len(w) <= CACHED_BYTES)
+        return learned
 
 
 @lru_cache(maxsize=2)
