@@ -12,8 +12,13 @@ follows could not suffice otherwise. A region where no set holds the pivot that
 later holders that could only be near sets smaller than every early one. Of regions with the same sets the first in
 the order is kept.
 
+Most shingles are in one document only. Which ones are in several is counted first; a bitmap of these (``MEETING_WORDS``
+words, whatever the size of the input) keeps most others from being shuffled with their documents.
+
 Small regions (up to ``LEAF`` sets) are joined directly: pairs whose sizes and places of the pivot allow it are
-compared exactly. Larger regions are split around a document, the member that holds the fewest rare shingles before
+compared, first by signatures. A signature says for each of ``SIGNATURE`` bits whether an odd number of shingles falls
+on it; where two differ in k bits, at least k shingles are in one set alone, and near sets have at most (n + m) / 9 of
+these. What passes is compared exactly. Larger regions are split around a document, the member that holds the fewest rare shingles before
 the region's own: in a group of near copies it lies in the middle. With the exact distances d(x, p) of all members to
 the pivot p, members within 1/5 are linked to it and take its label; a region whose members all have one label is
 done; of the most frequent label only members stay for which |d(x, p) - d(y, p)| <= 1/5 for some y outside (the
@@ -32,6 +37,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -43,6 +49,8 @@ SHINGLE = 5
 FREQUENT = 32              # sets that share a shingle from which it counts as frequent
 FREQUENT_LIMIT = 1 << 20   # most frequent shingles moved to the end of the order: 8 MB sent to each task
 REACH = 1.5                # how far beyond its first shingles a document is looked at for frequent ones
+MEETING_WORDS = 1 << 20    # 64-bit words of the bitmap of shared shingles: 8 MB sent to each task; false hits cost work only
+SIGNATURE = 1024           # bits
 LEAF = 32
 ROUNDS = 3                 # pivots a large region is split around before its rest is joined directly
 
@@ -77,6 +85,12 @@ def fingerprint(shingles: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
+def signature(shingles: np.ndarray) -> np.ndarray:
+    """For each bit whether an odd number of shingles falls on it, as 64-bit words."""
+    odd = np.bincount((shingles.view(np.uint64) >> np.uint64(40)).astype(np.int64) % SIGNATURE, minlength=SIGNATURE) & 1
+    return np.packbits(odd.astype(bool)).view(np.int64)
+
+
 def fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
     """doc_id, n_shingles, node."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,11 +125,11 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
-    """node, n, heads (the first shingles of the set in the global order)."""
+    """node, n, heads (the first shingles of the set in the global order), signature."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, heads = [], [], []
+            nodes, sizes, heads, marks = [], [], [], []
             for run in slices(batch.column(1)):
                 for found in sets_of(run):
                     if not len(found):
@@ -135,12 +149,36 @@ def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
                     nodes.append(node)
                     sizes.append(len(found))
                     heads.append(found_order[:count])
+                    marks.append(signature(found))
             if nodes:
                 offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(heads)))
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists], names=["node", "n", "heads"])
+                words = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(marks) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(np.concatenate(marks)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, words], names=["node", "n", "heads", "signature"])
 
-    return _texts(docs, key, text).mapInArrow(step, "node bigint, n bigint, heads array<bigint>")
+    return _texts(docs, key, text).mapInArrow(step, "node bigint, n bigint, heads array<bigint>, signature array<bigint>")
+
+
+def meeting(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """h, node, n, at of the first shingles that are in the table ``shared``, and of few others."""
+    word = F.expr(f"(h >> 6) & {MEETING_WORDS - 1}").alias("word")
+    found = shared.groupBy(word).agg(F.expr("bit_or(1L << int(h & 63))").alias("bits")).toPandas()
+    bitmap = np.zeros(MEETING_WORDS, dtype=np.int64)
+    bitmap[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h, counts = batch.column(2).flatten().to_numpy(), pa.compute.list_value_length(batch.column(2)).to_numpy()
+            kept = np.flatnonzero(bitmap[(h >> 6) & (MEETING_WORDS - 1)] >> (h & 63) & 1)
+            row = np.repeat(np.arange(len(counts)), counts)[kept]
+            at = kept - (np.cumsum(counts) - counts)[row]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(h[kept]), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(at, pa.int64())],
+                names=["h", "node", "n", "at"])
+
+    return heads.select("node", "n", "heads").mapInArrow(step, "h bigint, node bigint, n bigint, at bigint")
 
 
 def shared_regions(heads: DataFrame) -> DataFrame:
@@ -149,7 +187,8 @@ def shared_regions(heads: DataFrame) -> DataFrame:
     early = F.when(9 * F.col("at") <= F.col("n"), F.col("n"))
     both = rows.groupBy("h").agg(F.count(F.lit(1)).alias("holders"), F.min(early).alias("least"))
     both = both.filter("holders > 1 and least is not null").select("h", "least")
-    kept = rows.join(persist_table(both, "shared"), "h").filter("9 * at <= n or 5 * n - 9 * at >= 4 * least")
+    both = persist_table(both, "shared")
+    kept = meeting(heads, both).join(both, "h").filter("9 * at <= n or 5 * n - 9 * at >= 4 * least")
     kept = persist_table(kept.select("h", "node", "n", "at").distinct(), "regions")
     # the same sets in the same order of pivots: the region with the smaller places comes first
     alike = kept.groupBy("h").agg(
@@ -180,9 +219,9 @@ def sets_for(docs: DataFrame, needed: DataFrame, owners: DataFrame, key: str, te
 
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Adds ``shared``, n and m to pairs a, b: shingles in common and the sizes."""
-    left = sets.select(F.col("node").alias("a"), "n", F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("right"))
+    """Adds ``shared``, n and m to pairs a, b: shingles in common and the sizes. Only sets that are asked for move."""
+    left = sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), "n", F.col("shingles").alias("left"))
+    right = sets.join(pairs.select(F.col("b").alias("node")), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("right"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -208,6 +247,16 @@ def region_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "h").filter("a < b and x_label <> y_label and 4 * y_n <= x_reach and 4 * x_n <= y_reach").select("a", "b").distinct()
 
 
+def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """The pairs a, b whose signatures do not rule out that the sets are near."""
+    asked = heads.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
+    marks = persist_table(asked.select("node", "n", "signature").dropDuplicates(["node"]), "signatures")
+    left = marks.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("signature").alias("x"))
+    right = marks.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("signature").alias("y"))
+    apart = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SIGNATURE // 64))
+    return pairs.join(left, "a").join(right, "b").filter(f"9 * ({apart}) <= x_n + y_n").select("a", "b")
+
+
 def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
     """Edges found around pivots, and the rows left to be joined directly."""
     active = persist_table(rows.select("h", "node", "n", "at").withColumns({"label": F.col("node"), "outside": F.lit(True)}), "large-regions")
@@ -228,7 +277,7 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
         turn += 1
         pivots = persist_table(active.filter("outside").groupBy("h").agg(F.min_by("node", F.struct("at", "node")).alias("pivot")), "pivots")
         met = active.join(pivots, "h").filter("node <> pivot")
-        pairs = met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+        pairs = persist_table(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
         measured = persist_table(distances(pairs, sets), "distances")
         found = measured.filter(NEAR).select("a", "b")
         edges = found if edges is None else edges.union(found)
@@ -256,7 +305,8 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     heads = persist_table(postings(docs, frequent_shingles(docs, key, text), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
-    pairs = persist_table(region_pairs(small.withColumn("label", F.col("node"))), "pairs")
+    pairs = persist_table(region_pairs(small.withColumn("label", F.col("node"))), "pairs-met")
+    pairs = persist_table(possible(pairs, heads), "pairs")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     sets = persist_table(sets_for(docs, nodes, owners, key, text), "sets")
@@ -267,7 +317,8 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
         # what links already connect, in whatever region, need not be compared again
         linked = persist_table(linked, "linked")
         known = left.drop("label").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = persist_table(region_pairs(known), "pairs-left")
+        more = persist_table(region_pairs(known), "pairs-left-met")
+        more = persist_table(possible(more, heads), "pairs-left")
         found = distances(more, sets).filter(NEAR).select("a", "b")
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
     return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
