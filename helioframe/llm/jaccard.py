@@ -120,8 +120,8 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads))], names=["h"])
 
     counts = _texts(docs, key, text).mapInArrow(step, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).select("h").toPandas()
-    return np.sort(top["h"].to_numpy(dtype=np.int64))
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).select("h").toArrow()
+    return np.sort(top["h"].to_numpy())
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
@@ -164,9 +164,9 @@ def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> Data
 def meeting(heads: DataFrame, shared: DataFrame) -> DataFrame:
     """h, node, n, at of the first shingles that are in the table ``shared``, and of few others."""
     word = F.expr(f"(h >> 6) & {MEETING_WORDS - 1}").alias("word")
-    found = shared.groupBy(word).agg(F.expr("bit_or(1L << int(h & 63))").alias("bits")).toPandas()
+    found = shared.groupBy(word).agg(F.expr("bit_or(1L << int(h & 63))").alias("bits")).toArrow()
     bitmap = np.zeros(MEETING_WORDS, dtype=np.int64)
-    bitmap[found["word"].to_numpy(dtype=np.int64)] = found["bits"].to_numpy(dtype=np.int64)
+    bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
