@@ -24,8 +24,10 @@ the pivot p, members within 1/5 are linked to it and take its label; a region wh
 done; of the most frequent label only members stay for which |d(x, p) - d(y, p)| <= 1/5 for some y outside (the
 triangle window). The pivot leaves, the next one is a member with another label, and so on until the region is small
 or done. A group of near copies takes one or two rounds with one comparison per member, however large it is. What
-``ROUNDS`` pivots leave is joined directly like a small region, but for pairs that the links found so far connect,
-in this region or another; Spark splits a region that is large then.
+``ROUNDS`` pivots leave is divided anew: the sets that are left get single-shingle pivots of their own, in the order of the
+exact number of sets left that hold a shingle, whatever its place. What all of them share comes last, so pages of one
+template that differ by more than 1/5 meet nowhere. Pairs in these regions are compared like those of small ones, but
+for pairs that the links found so far connect; Spark splits a region that is large then.
 
 Equal sets are one node throughout, known by a 64-bit fingerprint of the set (two of 10^8 different sets agree
 with probability 3 in 10^4).
@@ -52,7 +54,7 @@ REACH = 1.5                # how far beyond its first shingles a document is loo
 MEETING_WORDS = 1 << 20    # 64-bit words of the bitmap of shared shingles: 8 MB sent to each task; false hits cost work only
 SIGNATURE = 1024           # bits
 LEAF = 32
-ROUNDS = 3                 # pivots a large region is split around before its rest is joined directly
+ROUNDS = 3                 # pivots a large region is split around before its rest is divided anew
 
 
 def first_count(n: int) -> int:
@@ -107,11 +109,19 @@ def _texts(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(f"`{key}`").cast("bigint").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("_text"))
 
 
-def frequent_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
-    """The most frequent shingles among the first of the documents, at most ``FREQUENT_LIMIT``.
+def frequent_shingles(shingles: DataFrame) -> np.ndarray:
+    """The most frequent of the values ``h``, at most ``FREQUENT_LIMIT``, the rarest first.
 
     Any list gives the same links; a longer one makes smaller regions.
     """
+    counts = shingles.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
+    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).toArrow()
+    h, n = top["h"].to_numpy(), top["n"].to_numpy()
+    return h[np.lexsort((h, n))]
+
+
+def first_shingles(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """h of the first shingles of every document, ``REACH`` times as many as meet every near set."""
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for run in slices(batch.column(1)):
@@ -119,46 +129,79 @@ def frequent_shingles(docs: DataFrame, key: str, text: str) -> np.ndarray:
                 if heads:
                     yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(heads))], names=["h"])
 
-    counts = _texts(docs, key, text).mapInArrow(step, "h bigint").groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > FREQUENT)
-    top = counts.orderBy(F.desc("n"), "h").limit(FREQUENT_LIMIT).select("h").toArrow()
-    return np.sort(top["h"].to_numpy())
+    return _texts(docs, key, text).mapInArrow(step, "h bigint")
+
+
+class Order:
+    """The global order of shingles: those outside the list ``frequent`` by hash, then the list."""
+
+    def __init__(self, frequent: np.ndarray):
+        self.place = np.argsort(frequent)
+        self.known = frequent[self.place]
+
+    def __call__(self, found: np.ndarray) -> np.ndarray:
+        if not len(self.known):
+            return found
+        at = np.minimum(np.searchsorted(self.known, found), len(self.known) - 1)
+        often = self.known[at] == found
+        return np.concatenate([found[~often], found[often][np.argsort(self.place[at[often]])]])
+
+
+HEADS = "node bigint, n bigint, heads array<bigint>, signature array<bigint>"
+
+
+def _heads(nodes: list[int], sets: list[np.ndarray], order: Order) -> pa.RecordBatch:
+    heads = [order(s)[:first_count(len(s))] for s in sets]
+    offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
+    lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(heads)))
+    marks = np.concatenate([signature(s) for s in sets])
+    words = pa.ListArray.from_arrays(pa.array(np.arange(len(sets) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(marks))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(nodes, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), lists, words], names=["node", "n", "heads", "signature"])
 
 
 def postings(docs: DataFrame, frequent: np.ndarray, key: str, text: str) -> DataFrame:
     """node, n, heads (the first shingles of the set in the global order), signature."""
+    order = Order(frequent)
+
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            nodes, sizes, heads, marks = [], [], [], []
+            nodes, sets = [], []
             for run in slices(batch.column(1)):
                 for found in sets_of(run):
                     if not len(found):
                         continue
-                    node, count = fingerprint(found), first_count(len(found))
+                    node = fingerprint(found)
                     if node in seen:        # a copy of a set this task has given already
                         continue
                     seen.add(node)
                     if len(seen) > 200_000:
                         seen = set()
-                    if len(frequent):
-                        at = np.minimum(np.searchsorted(frequent, found), len(frequent) - 1)
-                        often = frequent[at] == found
-                        found_order = np.concatenate([found[~often], found[often]])
-                    else:
-                        found_order = found
                     nodes.append(node)
-                    sizes.append(len(found))
-                    heads.append(found_order[:count])
-                    marks.append(signature(found))
+                    sets.append(found)
             if nodes:
-                offsets = np.concatenate([[0], np.cumsum([len(h) for h in heads])])
-                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(heads)))
-                words = pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(marks) + 1) * (SIGNATURE // 64), pa.int32()), pa.array(np.concatenate(marks)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), lists, words], names=["node", "n", "heads", "signature"])
+                yield _heads(nodes, sets, order)
 
-    return _texts(docs, key, text).mapInArrow(step, "node bigint, n bigint, heads array<bigint>, signature array<bigint>")
+    return _texts(docs, key, text).mapInArrow(step, HEADS)
+
+
+def divided_anew(sets: DataFrame) -> DataFrame:
+    """As ``postings`` of the sets given, in the order of how many of these sets hold a shingle."""
+    def explode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for found in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(found.as_buffer(), dtype=np.int64))], names=["h"])
+
+    order = Order(frequent_shingles(sets.select("shingles").mapInArrow(explode, "h bigint")))
+
+    def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                found = [np.frombuffer(s.as_buffer(), dtype=np.int64) for s in batch.column(1)]
+                yield _heads(batch.column(0).to_pylist(), found, order)
+
+    return sets.select("node", "shingles").mapInArrow(step, HEADS)
 
 
 def meeting(heads: DataFrame, shared: DataFrame) -> DataFrame:
@@ -247,6 +290,12 @@ def region_pairs(rows: DataFrame) -> DataFrame:
     return x.join(y, "h").filter("a < b and x_label <> y_label and 4 * y_n <= x_reach and 4 * x_n <= y_reach").select("a", "b").distinct()
 
 
+def with_labels(rows: DataFrame, linked: DataFrame) -> DataFrame:
+    """h, node, n, at, label: the component of the node so far, or itself."""
+    named = rows.select("h", "node", "n", "at").join(linked, "node", "left")
+    return named.withColumn("label", F.coalesce("label", "node"))
+
+
 def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     """The pairs a, b whose signatures do not rule out that the sets are near."""
     asked = heads.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
@@ -257,8 +306,8 @@ def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").filter(f"9 * ({apart}) <= x_n + y_n").select("a", "b")
 
 
-def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None]:
-    """Edges found around pivots, and the rows left to be joined directly."""
+def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
+    """Edges found around pivots, the rows of regions that have become small, and those still large after ``ROUNDS`` pivots."""
     active = persist_table(rows.select("h", "node", "n", "at").withColumns({"label": F.col("node"), "outside": F.lit(True)}), "large-regions")
     edges: DataFrame | None = None
     small: DataFrame | None = None
@@ -266,14 +315,13 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
     while True:
         sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
         if turn:
-            last = turn == ROUNDS
-            part = (active if last else active.join(sizes.filter(F.col("size") <= LEAF), "h", "left_semi")).select("h", "node", "n", "at", "label")
+            part = active.join(sizes.filter(F.col("size") <= LEAF), "h", "left_semi").select("h", "node", "n", "at", "label")
             small = part if small is None else small.union(part)
-            if last:
-                return edges, small
             active = persist_table(active.join(sizes.filter(F.col("size") > LEAF), "h", "left_semi"), "large-regions")
         if active.isEmpty():
-            return edges, small
+            return edges, small, None
+        if turn == ROUNDS:
+            return edges, small, active
         turn += 1
         pivots = persist_table(active.filter("outside").groupBy("h").agg(F.min_by("node", F.struct("at", "node")).alias("pivot")), "pivots")
         met = active.join(pivots, "h").filter("node <> pivot")
@@ -302,7 +350,7 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     """Fingerprints of all rows (doc_id, n_shingles, node), stored, and per node its smallest doc_id (``owner``) and component."""
     ready(docs.sparkSession)
     prints = persist_table(fingerprints(docs, key, text), "fingerprints")
-    heads = persist_table(postings(docs, frequent_shingles(docs, key, text), key, text), "heads")
+    heads = persist_table(postings(docs, frequent_shingles(first_shingles(docs, key, text)), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
     pairs = persist_table(region_pairs(small.withColumn("label", F.col("node"))), "pairs-met")
@@ -310,15 +358,19 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     sets = persist_table(sets_for(docs, nodes, owners, key, text), "sets")
-    edges, left = join_large_regions(large, sets)
+    edges, left, still = join_large_regions(large, sets)
     found = distances(pairs, sets).filter(NEAR).select("a", "b")
     linked = components(found if edges is None else edges.union(found))
     if left is not None:
         # what links already connect, in whatever region, need not be compared again
         linked = persist_table(linked, "linked")
-        known = left.drop("label").join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        more = persist_table(region_pairs(known), "pairs-left-met")
-        more = persist_table(possible(more, heads), "pairs-left")
+        met = region_pairs(with_labels(left, linked))
+        if still is not None:
+            rest = sets.join(still.select("node").distinct(), "node", "left_semi")
+            anew = persist_table(divided_anew(rest), "heads-anew")
+            met = met.union(region_pairs(with_labels(shared_regions(anew), linked)))
+        more = persist_table(met, "pairs-left-met")
+        more = persist_table(possible(more, heads).distinct(), "pairs-left")
         found = distances(more, sets).filter(NEAR).select("a", "b")
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
     return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))

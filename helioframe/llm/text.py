@@ -10,6 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import SparkSession
 
 from helioframe.session import prepare
@@ -18,6 +19,7 @@ U64 = np.uint64
 BASE = 0x9E3779B97F4A7C15          # odd, so it has an inverse modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 MULTIPLIERS = np.array([pow(0xD1342543DE82EF95, k + 1, 1 << 64) for k in range(16)], dtype=U64)
+LONG = 32                          # bytes from which a range is hashed on its own
 SLICE_BYTES = 1 << 19              # arrays of this size stay in the processor's cache
 
 _SPACE = np.zeros(256, dtype=bool)
@@ -90,11 +92,20 @@ class Texts:
         return total[self.word_borders[1:]] - total[self.word_borders[:-1]]
 
     def hashes(self, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-        """64-bit hashes of byte ranges."""
+        """64-bit hashes of byte ranges.
+
+        Sums over powers modulo 2**64 are fast for many short ranges, but regular long ones can agree in them; ranges
+        of ``LONG`` bytes and more get a hash of their own.
+        """
         up, down = _powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, dtype=U64)
         np.cumsum((_LOWER if lower else _RAW)[self.data] * up[:len(self.data)], out=sums[1:])
-        return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(INVERSE))
+        found = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(INVERSE))
+        far = np.flatnonzero(ends - starts >= LONG)
+        if len(far):
+            data = ((_LOWER if lower else _RAW)[self.data] - U64(1)).astype(np.uint8).data
+            found[far] = [xxhash.xxh3_64_intdigest(data[a:b], BASE) for a, b in zip(starts[far].tolist(), ends[far].tolist(), strict=True)]
+        return found
 
     def words(self, lower: bool = False) -> np.ndarray:
         return self.hashes(self.starts, self.ends, lower)

@@ -141,6 +141,41 @@ def test_jaccard(spark, monkeypatch, leaf, rounds, frequent):
     assert Counter(map(tuple, got.collect())) == brute_jaccard(rows)
 
 
+def template_pages(n):
+    """Pages of 340 shared words and 60 of their own: a similarity of about 0.73; the last three are near copies."""
+    frame = [f"frame{i}" for i in range(340)]
+    rows = [(k, " ".join([*frame[:170], *[f"own{k}x{i}" for i in range(60)], *frame[170:]])) for k in range(n)]
+    return [*rows, *[(n + k, rows[5][1].replace(f"own5x{7 * k}", f"copy{k}")) for k in range(3)]]
+
+
+def test_jaccard_template_pages(spark, monkeypatch):
+    """Default constants: exact, and pairs that meet do not grow with the square of the pages."""
+    met, persist = {}, jaccard.persist_table
+
+    def counted(df, label):
+        stored = persist(df, label)
+        if label in ("pairs-met", "pairs-left-met"):
+            met[label] = stored.count()
+        return stored
+
+    monkeypatch.setattr(jaccard, "persist_table", counted)
+    rows = template_pages(150)
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(4))
+    assert Counter(map(tuple, got.collect())) == brute_jaccard(rows)
+    assert "pairs-left-met" in met and sum(met.values()) < 10 * len(rows)
+
+
+def test_regular_long_words_differ(spark):
+    """Words and lines whose sums over powers modulo 2**64 agree: a Thue-Morse text and its complement."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"{word} x"), (2, f"{other} x"), (3, f"{word.upper()} x")]
+    got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(1, 1), (2, 2), (3, 1)}
+    lines = spark.createDataFrame([(1, f"{word}\n{other}\n{word}")], "doc_id bigint, text string")
+    assert quality.base_counts(lines).first()["n_dup_lines"] == 1
+
+
 def test_jaccard_odd_rows(spark, docs):
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     assert Counter(map(tuple, jaccard.jaccard_join(docs).collect())) == brute_jaccard(rows)
