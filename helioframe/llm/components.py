@@ -12,7 +12,9 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node of its component) of all nodes with an edge ``a``, ``b``.
 
     Each step is a grouped minimum and a join on the same key: no group is gathered in one task, and Spark splits
-    a skewed key of the join. The edges of a step are written to the shared folder, which cuts the lineage.
+    a skewed key of the join. The edges of a step are written to the shared folder, which cuts the lineage. Repeated
+    edges, both directions of one, and edges from a node to itself change nothing; a node whose only edges lead to itself
+    is left out, as are edges with a null end. No edges give no rows.
     """
     ours = persist_table(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
     mark = None

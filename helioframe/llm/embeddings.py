@@ -5,14 +5,16 @@ v = s q + e the error length |e| is computed, so for two vectors
 
     |v.w - s_v s_w q_v.q_w| <= |e_v| |w| + |s_v q_v| |e_w| <= |e_v| + (1 + |e_v|) |e_w|
 
-A tile multiplies the int8 vectors of two blocks (sums below 2**24, so float32 matrix products are exact); only
+A tile multiplies the int8 vectors of two blocks, ``STRETCH`` dimensions at a time (sums below 2**24, so float32 matrix
+products are exact) and adds the products in double precision; only
 pairs whose product plus bound reaches the threshold are computed again in double precision.
 
 Which blocks meet: vectors are cut into cells by ``tables`` independent sets of ``bits`` random hyperplanes, and
 blocks of at most ``BLOCK`` vectors of the same cell meet. ``bits`` follows the number of vectors, so cells stay
 near ``BLOCK`` vectors and the work near n log n; ``tables`` follows ``bits``, so that a pair at the very
 threshold shares a cell with probability ``RECALL`` and a closer one with more. A cell of any size is cut into
-blocks, of which all pairs meet; none is capped. A pair that shares several cells belongs to the first one.
+blocks, of which all pairs meet; none is capped. With a recall of 1 there is one cell and every pair of blocks meets.
+ A pair that shares several cells belongs to the first one.
 Equal vectors are one row with a count throughout, so a group of copies costs one vector.
 """
 
@@ -35,11 +37,14 @@ from helioframe.session import persist_table
 THRESHOLD = 0.9
 RECALL = 0.9995
 BLOCK = 1024
+STRETCH = 1024         # 1024 * 127**2 < 2**24
 SEED = 7
 
 
 def plan_cells(vectors: int, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[int, int]:
-    """Hyperplanes per table, and tables."""
+    """Hyperplanes per table, and tables; none with a recall of 1, whatever the number of vectors."""
+    if recall >= 1:
+        return 0, 1
     bits = max(0, math.ceil(math.log2(max(1, vectors) / BLOCK)))
     same = (1 - math.acos(threshold) / math.pi) ** bits
     return bits, 1 if bits == 0 else math.ceil(math.log(1 - recall) / math.log(1 - same))
@@ -67,7 +72,10 @@ def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def possible_pairs(left: tuple, right: tuple, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Positions of pairs that may reach the threshold."""
     (q, s, e), (r, t, f) = left, right
-    product = q.astype(np.float32) @ r.astype(np.float32).T
+    product = np.zeros((len(q), len(r)))
+    for at in range(0, q.shape[1], STRETCH):
+        part = slice(at, at + STRETCH)
+        product += q[:, part].astype(np.float32) @ r[:, part].astype(np.float32).T
     reach = product * (s[:, None] * t[None, :]) + (e[:, None] + (1 + e[:, None]) * f[None, :])
     return np.nonzero(reach >= threshold - 1e-12)
 
@@ -93,11 +101,11 @@ def distinct_vectors(vectors: DataFrame, vector: str) -> tuple[DataFrame, DataFr
     return rows, known.withColumn("node", F.monotonically_increasing_id())
 
 
-def vector_links(known: DataFrame, threshold: float = THRESHOLD) -> tuple[DataFrame, DataFrame]:
+def vector_links(known: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> tuple[DataFrame, DataFrame]:
     """Of distinct vectors (node, copies, _values): links of each to others, weighted by copies; edges that span them."""
     sizes = [(r[0], r[1]) for r in known.groupBy(F.size("_values")).count().collect()]     # one line per dimension
     counted = sum(n for _, n in sizes)
-    bits, tables = plan_cells(counted, threshold)
+    bits, tables = plan_cells(counted, threshold, recall)
     planes = {d: hyperplanes(d, bits, tables) for d, _ in sizes}
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,9 +175,11 @@ def spanning(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         root = low
 
 
-def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD) -> DataFrame:
+def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """vec_id, n_links, component_id, kept of every row.
 
+    A link at the very threshold is found with probability ``recall``; with 1 all tiles are multiplied and none is missed.
+
     Vectors that are null, empty, zero, or hold a null or non-finite component link with nothing; vectors of
     different lengths do not link. Rows with equal ids are rows of their own and count as such; a null id is passed
     over in the minimum, and ``kept`` is false for it. Other columns are not read; an empty table gives no rows.
@@ -178,7 +188,7 @@ def near_vectors(vectors: DataFrame, key: str = "vec_id", vector: str = "embeddi
     picked = vectors.select(F.col(f"`{key}`").cast("bigint").alias("_id"), F.col(f"`{vector}`").alias("_vector"))
     rows, known = distinct_vectors(picked, "_vector")
     known = persist_table(known, "distinct-vectors")
-    links, edges = vector_links(known, threshold)
+    links, edges = vector_links(known, threshold, recall)
     labels = components(edges)
     own = known.join(links, "node", "left").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = own.groupBy("label").agg(F.min("first_id").alias("component_id"))

@@ -106,7 +106,9 @@ def mix(rows: DataFrame, plan: DataFrame, key: str = "doc_id", source: str = "so
     up = Window.partitionBy("source_no").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("source_no", "_bucket", F.coalesce(F.sum("_sum").over(up), F.lit(0)).alias("_before"))
     placed = numbered.join(sums, ["source_no", "_bucket"])
-    run = Window.partitionBy("source_no", "_bucket").orderBy("_h", size).rowsBetween(Window.unboundedPreceding, 0)
+    # rows of equal key and size by what they hold, so that reruns cut the same one
+    plain = [f.name for f in rows.schema if not any(kind in f.dataType.simpleString() for kind in ("map<", "variant"))]
+    run = Window.partitionBy("source_no", "_bucket").orderBy("_h", size, F.xxhash64(*[F.col(f"`{c}`") for c in plain])).rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_start", F.col("_before") + F.sum(size).over(run) - F.col(size))
 
     def overlap(start: Column, end: Column) -> tuple[Column, Column]:
@@ -136,7 +138,12 @@ def mix_sizes(docs: DataFrame, key: str = "doc_id", source: str = "source", text
 
 
 def mix_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """The mix itself: each document as often as it is taken, with all its columns; a cut one keeps the words taken, joined by spaces."""
+    """The mix itself: each document as often as it is taken, with all its columns; a cut one keeps the words taken, joined by spaces.
+
+    Null and empty texts have no words and are not taken. A null source is a source of its own; a null key takes its
+    place by an empty string; rows with equal keys are taken one by one, equal rows are interchangeable. Very long texts
+    are cut like others; columns may have any names; an empty table gives no rows.
+    """
     prepare(docs.sparkSession)
     size = word_count(F.col(f"`{text}`"))
     plan = mix_plan(persist_table(docs.select(F.col(f"`{source}`").alias("source"), size.alias("size")), "sizes"))

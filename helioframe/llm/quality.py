@@ -188,7 +188,9 @@ def keep(docs: DataFrame, labels: DataFrame, stratum: str = "lang", key: str = "
     """The documents that stay, whole and with all their columns.
 
     The counts are taken again next to the texts rather than joined to them: cutoffs are one line per stratum,
-    so the texts are read twice but never shuffled.
+    so the texts are read twice but never shuffled. Null and empty texts fail the base rule and go; null and repeated
+    keys and a null stratum as in ``quality_rules``: what it keeps stays, row by row. Columns may have any names; an empty
+    table gives no rows; without labels only the base rule rejects.
     """
     cuts = persist_table(thresholds(persist_table(base_counts(_needed(docs, key, stratum, text)), "quality"), labels, stratum), "cutoffs")
     names = [f"_q_{c}" for c in docs.columns]

@@ -101,7 +101,7 @@ URL_RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.
 
 @query
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    listed = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
+    listed = spark.sql("SELECT * FROM VALUES " + ", ".join(map(str, URL_RULES)) + " AS rules(host, path, verdict)")
     return urls.judge_urls(table(spark, sf_dir, "pages"), listed)
 
 

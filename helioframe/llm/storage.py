@@ -8,8 +8,18 @@ from pyarrow import fs
 from pyspark import TaskContext
 
 
+def arrow_uri(uri: str) -> str:
+    """The name Arrow knows a folder by: S3 has names of its own in Hadoop, and ``dbfs:`` is mounted at ``/dbfs``."""
+    scheme, mark, rest = uri.partition(":")
+    if mark and scheme in ("s3a", "s3n"):
+        return f"s3:{rest}"
+    if mark and scheme == "dbfs":
+        return "/dbfs/" + rest.lstrip("/")
+    return uri
+
+
 def open_folder(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def task_file(prefix: str, suffix: str) -> str:

@@ -13,7 +13,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from checks.compare import difference
-from helioframe.llm import chat, embeddings, jaccard, licenses, mixing, packing, quality, records, urls, warc
+from helioframe.llm import chat, embeddings, jaccard, licenses, mixing, packing, quality, records, storage, urls, warc
 from helioframe.llm.components import components
 from helioframe.llm.queries import ORACLE, QUERIES, TOKENIZER, TRICKY
 
@@ -353,6 +353,32 @@ def test_vector_recall(spark, monkeypatch):
     assert (got <= linked.sum(axis=1)).all() and got.sum() >= 0.99 * linked.sum() and linked.sum() > 20_000
 
 
+@pytest.mark.parametrize("recall,dims", [(1.0, 24), (1.0, 1500)])
+def test_exact_run_links_every_pair(spark, monkeypatch, recall, dims):
+    """More vectors than a block holds, with pairs close to the threshold on both sides."""
+    monkeypatch.setattr(embeddings, "BLOCK", 64)
+    draw = np.random.default_rng(5)
+    base = draw.standard_normal((120, dims))
+    base /= np.linalg.norm(base, axis=1, keepdims=True)
+    aside = draw.standard_normal((120, dims))
+    aside -= (aside * base).sum(axis=1, keepdims=True) * base
+    aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+    cosine = draw.uniform(0.88, 0.92, (120, 1))
+    vectors = np.concatenate([base, cosine * base + np.sqrt(1 - cosine**2) * aside])
+    product = embeddings.unit_rows([v.tobytes() for v in vectors])
+    near = product @ product.T >= 0.9
+    np.fill_diagonal(near, False)
+    label = embeddings.spanning(len(near), *np.nonzero(near))
+    frame = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(vectors)], "vec_id long, embedding array<double>")
+    got = embeddings.near_vectors(frame, recall=recall).collect()
+    assert near.sum() > 40
+    assert {(r.vec_id, r.n_links, r.component_id, r.kept) for r in got} == {(k, int(near[k].sum()), int(label[k]), bool(label[k] == k)) for k in range(len(near))}
+
+
+def test_folder_names():
+    assert [storage.arrow_uri(u) for u in ("s3a://b/x", "s3n://b/x", "dbfs:/tmp/x", "file:///tmp/x", "/tmp/x")] == ["s3://b/x", "s3://b/x", "/dbfs/tmp/x", "file:///tmp/x", "/tmp/x"]
+
+
 def test_quantisation_bound():
     draw = np.random.default_rng(4)
     a, b = (x / np.linalg.norm(x, axis=1, keepdims=True) for x in draw.standard_normal((2, 200, 24)))
