@@ -45,7 +45,8 @@ def candidates(ids: np.ndarray, sentence_end: np.ndarray) -> tuple[np.ndarray, n
     if len(ids) > 1 and len(ends) and ends[-1] == len(ids) - 1:
         ends = ends[:-1]          # the id that ends the document stays with its last sentence
     edges = np.concatenate([[0], ends, [len(ids)]])
-    steps = np.where(np.diff(edges) > LONG, (np.diff(edges) - 1) // GRID, 0)
+    gaps = edges[1:] - edges[:-1]
+    steps = np.where(gaps > LONG, (gaps - 1) // GRID, 0)
     nth = np.arange(steps.sum()) - np.repeat(np.cumsum(steps) - steps, steps) + 1
     forced = np.repeat(edges[:-1], steps) + GRID * nth
     cuts = np.concatenate([ends, forced, [len(ids)]]).astype(np.int64)

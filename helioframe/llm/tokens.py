@@ -14,6 +14,7 @@ import os
 import re
 from array import array
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from tokenizers import Tokenizer, normalizers, pre_tokenizers
@@ -65,20 +66,25 @@ class WordEncoder:
 
     def _learn(self, words: set[bytes]) -> dict[bytes, bytes]:
         """Ids of words; short ones and their parts are cached."""
-        parts = {w: _CUT.sub(b" ", w).split() for w in words}
-        known, plain, other = {}, [], []
-        for part in {p for cut in parts.values() for p in cut}:
-            if part in self.cache:
-                known[part] = self.cache[part]
-                continue
-            text = part.decode()
-            (plain if _PLAIN.fullmatch(text) else other).append((part, text))
+        order = list(words)
+        cuts = _CUT.sub(b" ", b"\n".join(order)).split(b"\n")
+        parts = {w: cut.split() for w, cut in zip(order, cuts, strict=True) if b" " in cut}
+        pieces = set(chain.from_iterable(parts.values()))
+        known = {p: self.cache[p] for p in pieces if p in self.cache}
+        new = list(words.difference(parts).union(pieces.difference(known)))
+        plain, other = [], []
+        if new:
+            for part, text in zip(new, b"\n".join(new).decode().split("\n"), strict=True):
+                (plain if _PLAIN.fullmatch(text) else other).append((part, text))
         for tokenizer, rows in ((self.plain, [(p, t.lower()) for p, t in plain]), (self.whole, other)):
-            encoded = tokenizer.encode_batch_fast([t for _, t in rows], add_special_tokens=False)
-            known.update((p, self._ids(e.ids)) for (p, _), e in zip(rows, encoded, strict=True))
-        learned = {w: b"".join([known[p] for p in cut]) for w, cut in parts.items()}
-        for some in (known, learned):
-            self.cache.update((w, ids) for w, ids in some.items() if len(w) <= CACHED_BYTES)
+            if rows:
+                encoded = tokenizer.encode_batch_fast([t for _, t in rows], add_special_tokens=False)
+                known.update((p, self._ids(e.ids)) for (p, _), e in zip(rows, encoded, strict=True))
+        learned = {w: b"".join([known[p] for p in cut]) for w, cut in parts.items()} | known
+        if len(max(learned, key=len)) <= CACHED_BYTES:
+            self.cache.update(learned)
+        else:
+            self.cache.update((w, ids) for w, ids in learned.items() if len(w) <= CACHED_BYTES)
         return learned
 
 
