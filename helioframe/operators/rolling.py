@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.operators.instruments import time_frame
+from helioframe.operators.instruments import time_variance
 from helioframe.operators.timeline import Timeline
 
 
@@ -31,10 +31,10 @@ def rolling_var_by_time(
     df: DataFrame, col: str, by: Sequence[str], ts: str, minutes: float = 5, out: str = "long_flux_var_5m",
 ) -> DataFrame:
     """The variance over trailing minutes instead of rows, for series with gaps in time."""
-    return time_frame(df, by, ts, minutes * 60, lambda w: {out: F.coalesce(F.var_samp(col).over(w), F.lit(0.0))})
+    return time_variance(df, col, by, ts, minutes * 60, out)
 
 
 def rolling_log_std_by_time(
     df: DataFrame, col: str, by: Sequence[str], ts: str, minutes: float = 10, out: str = "log_volatility_10m",
 ) -> DataFrame:
-    return time_frame(df, by, ts, minutes * 60, lambda w: {out: F.coalesce(F.stddev_samp(F.log10(col)).over(w), F.lit(0.0))})
+    return time_variance(df, F.log10(col), by, ts, minutes * 60, out).withColumn(out, F.sqrt(out))
