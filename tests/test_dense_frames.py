@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helioframe.operators.instruments import median_3sigma
+from helioframe.operators.instruments import median_3sigma, pulsation_variance
 
 FRAME = 60_000_000
 
@@ -45,3 +45,24 @@ def test_median_of_odd_rows_without_a_list_per_row(spark):
             assert r["sigma"] == pytest.approx(np.std(frame, ddof=1) if m > 1 else 0.0, abs=1e-12)
         elif m > 1:
             assert math.isnan(r["sigma"])
+
+
+def test_variance_without_a_pass_over_the_frame_per_row(spark):
+    df, frames = odd_rows(spark)
+    out = pulsation_variance(df, "x", ["series"], "ts", seconds=60, threshold=100.0)
+    assert f"-{FRAME}" not in plan_of(out)      # no frame that slides
+    got = {(r["series"], r["id"]): r for r in out.collect()}
+    assert len(got) == 2 * len(frames)
+    for (_, k), r in got.items():
+        if all(map(math.isfinite, frames[k])):
+            assert r["variance"] == pytest.approx(np.var(frames[k], ddof=1) if len(frames[k]) > 1 else 0.0, abs=1e-10)
+            assert r["is_burst"] == (r["variance"] > 100.0)
+        elif len(frames[k]) > 1:
+            assert math.isnan(r["variance"])
+
+
+def test_variance_of_large_and_equal_values(spark):
+    rows = spark.range(4000).selectExpr("'a' AS series", "id", "timestamp_millis(id * 50) AS ts", "1e9D + IF(id < 2000, 0, id % 2) AS x")
+    got = {r["id"]: r["variance"] for r in pulsation_variance(rows, "x", ["series"], "ts", seconds=10).collect()}
+    assert got[1500] == 0 and got[0] == 0
+    assert got[3900] == pytest.approx(np.var([k % 2 for k in range(3700, 3901)], ddof=1), rel=1e-6)
