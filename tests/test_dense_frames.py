@@ -2,10 +2,13 @@
 
 import math
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from __spark_entry__ import oracle_sql, queries
+from checks.compare import difference
 from helioframe.operators.instruments import median_3sigma, pulsation_variance
 
 FRAME = 60_000_000
@@ -66,3 +69,29 @@ def test_variance_of_large_and_equal_values(spark):
     got = {r["id"]: r["variance"] for r in pulsation_variance(rows, "x", ["series"], "ts", seconds=10).collect()}
     assert got[1500] == 0 and got[0] == 0
     assert got[3900] == pytest.approx(np.var([k % 2 for k in range(3700, 3901)], ddof=1), rel=1e-6)
+
+
+@pytest.fixture(scope="module")
+def dense(spark, tmp_path_factory):
+    """Twelve hours of events, some hundred in every frame."""
+    path = str(tmp_path_factory.mktemp("dense"))
+    spark.range(6000).selectExpr(
+        "id AS event_id", "CAST(timestamp_millis(1704067200000 + id * 7200 + id * id % 701) AS timestamp_ntz) AS ts", "id % 9 AS user_id",
+        "IF(id % 4 = 0, 'view', 'click') AS event_type", "round(50 + 40 * sin(id / 700) + id * 37 % 101 * (1 + sin(id / 300)), 2) AS value",
+        "concat('{\"k\": ', id % 13, '}') AS props").coalesce(1).write.parquet(f"{path}/events.parquet")
+    return path
+
+
+def same_as_sql(spark, name, path):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM read_parquet('{path}/events.parquet/*.parquet')")
+    out = queries()[name](spark, path)
+    ours = out.toPandas()
+    assert len(ours) > 1
+    assert difference(ours, con.execute(oracle_sql()[name]).df()) is None
+    return out
+
+
+def test_detector_events_of_dense_rows(spark, dense):
+    plan = plan_of(same_as_sql(spark, "detector_events", dense))
+    assert "collect_list" not in plan and f"-{360 * FRAME}" not in plan and f"-{120 * FRAME}" not in plan
