@@ -95,3 +95,11 @@ def same_as_sql(spark, name, path):
 def test_detector_events_of_dense_rows(spark, dense):
     plan = plan_of(same_as_sql(spark, "detector_events", dense))
     assert "collect_list" not in plan and f"-{360 * FRAME}" not in plan and f"-{120 * FRAME}" not in plan
+
+
+def test_detector_sync_of_dense_rows(spark, dense):
+    from checks.queries import _detected
+
+    same_as_sql(spark, "detector_sync", dense)
+    for events in _detected(spark, dense):
+        assert "collect_list" not in plan_of(events) and f"-{120 * FRAME}" not in plan_of(events)
