@@ -24,6 +24,9 @@ RUN = "start timestamp, end timestamp, peak_val double, peak_time timestamp, sam
 PARTIAL = f"series string, bucket bigint, closes timestamp, opens boolean, stays_open boolean, {RUN}"
 EVENTS = f"series string, {RUN}"
 FIELDS = ("start", "end", "peak_val", "peak_time", "samples")
+HALF = "series string, has_id boolean, event_id bigint, t bigint, closes timestamp, follows boolean, peak double"
+# a waiting row: where it counts or until where it looks, its own time, id and value
+WAITING = np.dtype([("at", "i8"), ("t", "i8"), ("event_id", "i8"), ("x", "f8"), ("has_id", "?"), ("has_x", "?"), ("asks", "?")])
 
 Run = tuple[int, int, float, int, int]
 
@@ -174,19 +177,106 @@ def stream_events(rows: DataFrame, threshold: float, delay: str = "1 day", bucke
     return parts.groupBy("series").transformWithStateInPandas(SeriesRuns(width, silence), EVENTS, "append", "EventTime")
 
 
+class HalfLabels(StatefulProcessor):
+    """One half of the labels, per series and bucket of one horizon; rows wait packed in list state.
+
+    Rows are asked for the maximum of what lies in the bucket after them (``ahead``), or, as copies of the rows of the
+    bucket before, up to the end of their horizon. A row is answered once the watermark has passed all it asks for, in
+    the order of time by running maxima, and rows of a closed bucket are dropped. Repeated rows are answered once.
+    """
+
+    def __init__(self, width: int, ahead: bool):
+        self.width, self.ahead = width, ahead
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.rows = handle.getListState("rows", "packed binary")
+
+    def _due(self, key: Any, asked: np.ndarray) -> np.ndarray:
+        return np.full(len(asked), (key[1] + 1) * self.width) if self.ahead else asked["at"]
+
+    def _wake(self, key: Any, asked: np.ndarray) -> None:
+        if len(asked):
+            self.handle.registerTimer(-int(-self._due(key, asked).min() // 1000))
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        blocks = []
+        for pdf in rows:
+            block = np.zeros(len(pdf), WAITING)
+            for c in WAITING.names:
+                block[c] = pdf[c].to_numpy()
+            blocks.append(block)
+        held = np.concatenate(blocks)
+        self.rows.appendList([(b.tobytes(),) for b in blocks])
+        self._wake(key, held[held["asks"]])
+        self.handle.registerTimer(-(-(key[1] + 1) * self.width // 1000))
+        return iter(())
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802
+        blocks = [np.frombuffer(r[0], WAITING) for r in self.rows.get()]
+        if not blocks:
+            return
+        held, now = np.concatenate(blocks), timerValues.getCurrentWatermarkInMs() * 1000
+        ready = held["asks"] & (self._due(key, held) <= now)
+        waiting = held["asks"] & ~ready
+        closed = (key[1] + 1) * self.width <= now
+        if closed and not waiting.any():
+            self.rows.clear()
+        elif ready.any():
+            rest = held[waiting | ~held["asks"] | self.ahead]
+            self.rows.put([(rest.tobytes(),)])
+        self._wake(key, held[waiting])
+        if ready.any():
+            asked = np.unique(held[ready][["has_id", "event_id", "t", "at"]])
+            follows, known, peak = self._peaks(held if self.ahead else held[~held["asks"]], asked["at"])
+            due = -(-self._due(key, asked) // 1000)
+            yield pd.DataFrame({
+                "series": key[0], "has_id": asked["has_id"], "event_id": asked["event_id"], "t": asked["t"],
+                # later than any watermark that has not fired the timer
+                "closes": pd.to_datetime(due + 1, unit="ms", utc=True), "follows": follows, "peak": pd.Series(peak).astype(object).where(known, None)})
+
+    def _peaks(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether rows, and rows with a value, lie on the asked side of each time, and the maximum of these."""
+        data = data[np.argsort(data["at"], kind="stable")]
+        place = np.searchsorted(data["at"], at, "right")
+        if self.ahead:
+            data, place = data[::-1], len(data) - place
+        best = np.concatenate([[-np.inf], np.maximum.accumulate(np.where(data["has_x"], data["x"], -np.inf))])
+        known = np.concatenate([[0], np.cumsum(data["has_x"])])
+        return place > 0, known[place] > 0, best[place]
+
+    def close(self) -> None:
+        pass
+
+
 def stream_labels(rows: DataFrame, horizon_minutes: int, delay: str = "1 day") -> DataFrame:
     """The maximum each row of ``(series, ts, event_id, x)`` sees within the next ``horizon_minutes``, once that time has passed.
 
     Labels come from rows that really arrived later, never from a table computed ahead. By time, so it equals the
     row-count target only on a gap-free one-minute series. A row that nothing follows within its horizon gets no
-    label. An interval join of the stream with itself, both sides watermarked: a row meets what follows it in its own
-    time bucket of one horizon, where rows of the next bucket are copied too, and the maximum is a plain aggregation.
+    label. In buckets of one horizon a row sees the rest of its own bucket and the beginning of the next one: each half
+    is a running maximum of one bucket, however many rows a horizon holds, and an interval join of the two streams, both
+    sides watermarked, puts the halves of a row together.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
     width = horizon_minutes * 60_000_000
-    late = rows.withWatermark("ts", delay)
-    bucket = F.floor(F.unix_micros("ts") / F.lit(width)).cast("bigint")
-    seen = late.select(F.col("series"), F.col("event_id"), F.col("ts"), bucket.alias("bucket"))
-    after = late.select(F.col("series").alias("f_series"), F.col("ts").alias("f_ts"), F.col("x"), F.explode(F.array(bucket, bucket - 1)).alias("f_bucket"))
-    within = F.expr(f"f_ts > ts AND f_ts <= ts + INTERVAL {horizon_minutes} MINUTES")
-    pairs = seen.join(after, F.col("series").eqNullSafe(F.col("f_series")) & (F.col("bucket") == F.col("f_bucket")) & within)
-    return pairs.groupBy("series", "event_id", "ts").agg(F.max("x").alias("peak")).select("series", "event_id", "peak")
+    late = rows.withWatermark("ts", delay).select(
+        "series", "ts", F.unix_micros("ts").alias("t"), F.col("event_id").isNotNull().alias("has_id"), F.coalesce("event_id", F.lit(0).cast("long")).alias("event_id"),
+        F.col("x").isNotNull().alias("has_x"), F.coalesce("x", F.lit(0.0)).alias("x"))
+    bucket = F.floor(F.col("t") / F.lit(width)).cast("bigint")
+    own = late.withColumns({"bucket": bucket, "at": F.col("t"), "asks": F.lit(True)})
+    both = F.array(F.struct(bucket.alias("bucket"), F.col("t").alias("at"), F.lit(False).alias("asks")),
+                   F.struct((bucket + 1).alias("bucket"), (F.col("t") + width).alias("at"), F.lit(True).alias("asks")))
+    copies = late.withColumn("_to", F.explode(both)).select("*", "_to.*").drop("_to")
+
+    def half(placed: DataFrame, ahead: bool) -> DataFrame:
+        return placed.groupBy("series", "bucket").transformWithStateInPandas(HalfLabels(width, ahead), HALF, "append", "EventTime", eventTimeColumnName="closes")
+
+    first, second = half(own, True), half(copies, False)
+    second = second.select(*[F.col(c).alias(f"n_{c}") for c in second.columns])
+    same = F.col("series").eqNullSafe(F.col("n_series"))
+    for c in ("has_id", "event_id", "t"):
+        same = same & (F.col(c) == F.col(f"n_{c}"))
+    within = F.expr(f"n_closes >= closes AND n_closes <= closes + INTERVAL {horizon_minutes} MINUTES")
+    return first.join(second, same & within).filter(F.col("follows") | F.col("n_follows")).select(
+        "series", F.when(F.col("has_id"), F.col("event_id")).alias("event_id"), F.greatest("peak", "n_peak").alias("peak"))
