@@ -7,10 +7,9 @@ escaping, a turn mark can only be one that the template wrote.
 
 Prefix-target expansion: every assistant turn becomes an example of its own, whose context is all turns
 before it and whose loss mask covers that reply alone. A conversation that does not end with an assistant
-turn has one more example without a loss, so that no turn is lost. An example holds its context as the
-number of characters of the conversation's formatted text (all contexts of a conversation are prefixes of
-it), and its own text from there on; the formatted text of a turn is thus stored once, however many examples
-build on it, and output grows with the turns, not with their square. ``example_text`` puts the two together.
+turn has one more example without a loss, so that no turn is lost. An example is stored whole: its
+context, its own text, and where in it the loss lies. Stored text thus grows with the square of a conversation's
+turns, by what an expansion is; the contexts of neighbouring examples lie next to each other, so files compress them well.
 """
 
 from __future__ import annotations
@@ -70,8 +69,9 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
 
     Turns are taken by number, equal or null numbers by role and text, null numbers first. Null roles and texts
     are empty. Repeated rows are turns like others; a null conversation id is a conversation; other columns are
-    not read; an empty table gives no examples. One conversation is read by one task as a sorted stream, a turn
-    at a time, so a long one takes time but no memory.
+    not read; an empty table gives no examples. ``text`` is the context, the first ``context_chars`` characters, and the
+    example's own turns; the loss lies between ``loss_start`` and ``loss_end`` of it. One conversation is read by one task
+    as a sorted stream, a turn at a time; the task holds its formatted text.
     """
     ready(rows.sparkSession)
     picked = rows.select(
@@ -82,34 +82,25 @@ def format_conversations(rows: DataFrame, conv: str = "conv_id", turn: str = "tu
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         size, begun, conv_id = 0, False, None
-        number = turns = first = context = before = 0
-        held: list[str] = []
-
-        def example(loss: tuple[int, int] | None) -> tuple:
-            content = "".join(held)
-            start, end = loss or (None, None)
-            return conv_id, number, first, turns - first, context, content, start, end
+        number = turns = first = context = 0
+        whole = ""
 
         for batch in batches:
             for new_id, _, who, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if not begun or new_id != conv_id:
-                    if held:
-                        out.append(example(None))
-                    begun, conv_id, number, turns, first, context, before, held = True, new_id, 0, 0, 0, 0, 0, []
+                    if turns > first:
+                        out.append((conv_id, number, first, turns - first, context, whole, None, None))
+                    begun, conv_id, number, turns, first, context, whole = True, new_id, 0, 0, 0, 0, ""
                 piece, start, end = format_turn(who, content)
-                held.append(piece)
-                turns, size = turns + 1, size + len(piece)
-                # a long run of turns without a reply is stored in parts, as context of what follows
-                if who == TRAINED or before > BATCH_CHARS:
-                    out.append(example((before + start, before + end) if who == TRAINED else None))
-                    number, first, context, before, held = number + 1, turns, context + before + len(piece), 0, []
-                else:
-                    before += len(piece)
+                before, whole, turns = len(whole), whole + piece, turns + 1
+                if who == TRAINED:
+                    out.append((conv_id, number, first, turns - first, context, whole, before + start, before + end))
+                    number, first, context, size = number + 1, turns, len(whole), size + len(whole)
                 if size > BATCH_CHARS:
                     yield _batch(out)
                     out, size = [], 0
-        if held:
-            out.append(example(None))
+        if turns > first:
+            out.append((conv_id, number, first, turns - first, context, whole, None, None))
         if out:
             yield _batch(out)
 
@@ -135,17 +126,18 @@ def digests(examples: DataFrame) -> DataFrame:
         names = [c.split()[0] for c in schema.split(", ")]
         types = [pa.string() if c.endswith("string") else pa.int64() for c in schema.split(", ")]
         begun, conv_id, n, chars, loss_chars, all_turns, loss = False, None, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
+        so_far = ""
         for batch in batches:
             out = []
             for new_id, context, text, start, end, turns in zip(*(batch.column(i).to_pylist() for i in position.values()), strict=True):
                 if not begun or new_id != conv_id:
                     if begun:
                         out.append((conv_id, n, all_turns.hexdigest(), loss_chars, loss.hexdigest(), chars))
-                    begun, conv_id, n, chars, loss_chars, all_turns, loss = True, new_id, 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-                if context != chars:
+                    begun, conv_id, n, chars, loss_chars, all_turns, loss, so_far = True, new_id, 0, 0, 0, hashlib.sha256(), hashlib.sha256(), ""
+                if context != chars or not text.startswith(so_far):
                     raise ValueError(f"conversation {conv_id}: an example's context is not the text before it")
                 count = 0
-                for role, content in parse_turns(text):
+                for role, content in parse_turns(text[context:]):
                     all_turns.update(f"{role}\n{content}\n".encode())
                     count += 1
                 if count != turns:
@@ -154,7 +146,7 @@ def digests(examples: DataFrame) -> DataFrame:
                     trained = unescape(text[start:end])
                     loss.update(trained.encode())
                     loss_chars += len(trained)
-                n, chars = n + count, chars + len(text)
+                n, chars, so_far = n + count, len(text), text
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
         if begun:
@@ -165,14 +157,9 @@ def digests(examples: DataFrame) -> DataFrame:
 
 
 def example_text(examples: DataFrame) -> DataFrame:
-    """Each example written out: its context, its own text, and the loss mask in the whole.
+    """Each example's whole text and the loss mask in it.
 
-    Texts grow with the square of a conversation's length here, by what an example is; use it on what a
-    trainer is about to read. A null conversation id is a conversation; examples without a reply have a null loss; no
-    examples give no rows. Other columns of ``examples`` are not read.
+    A null conversation id is a conversation; examples without a reply have a null loss; no examples give no rows. Other
+    columns of ``examples`` are not read.
     """
-    texts = examples.select("conv_id", F.col("example").alias("_n"), F.col("text").alias("_part"))
-    joined = examples.alias("e").join(texts.alias("t"), F.col("e.conv_id").eqNullSafe(F.col("t.conv_id")) & (F.col("_n") <= F.col("e.example")))
-    parts = F.array_sort(F.collect_list(F.struct("_n", "_part")))
-    whole = joined.groupBy("e.conv_id", "e.example", "e.context_chars", "e.loss_start", "e.loss_end").agg(F.array_join(F.transform(parts, lambda p: p["_part"]), "").alias("text"))
-    return whole.select("conv_id", "example", "text", (F.col("context_chars") + F.col("loss_start")).alias("loss_start"), (F.col("context_chars") + F.col("loss_end")).alias("loss_end"))
+    return examples.select("conv_id", "example", "text", "loss_start", "loss_end")
