@@ -204,17 +204,28 @@ def divided_anew(sets: DataFrame) -> DataFrame:
     return sets.select("node", "shingles").mapInArrow(step, HEADS)
 
 
-def meeting(heads: DataFrame, shared: DataFrame) -> DataFrame:
-    """h, node, n, at of the first shingles that are in the table ``shared``, and of few others."""
+def bitmap_of(hashes: DataFrame) -> np.ndarray:
+    """``MEETING_WORDS`` words with a bit set for each value of the column ``h``."""
     word = F.expr(f"(h >> 6) & {MEETING_WORDS - 1}").alias("word")
-    found = shared.groupBy(word).agg(F.expr("bit_or(1L << int(h & 63))").alias("bits")).toArrow()
+    found = hashes.groupBy(word).agg(F.expr("bit_or(1L << int(h & 63))").alias("bits")).toArrow()
     bitmap = np.zeros(MEETING_WORDS, dtype=np.int64)
     bitmap[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return bitmap
+
+
+def hits(bitmap: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Whether the bit of each value is set: always for those the bitmap was made of, and for few others."""
+    return (bitmap[(h >> 6) & (MEETING_WORDS - 1)] >> (h & 63) & 1).astype(bool)
+
+
+def meeting(heads: DataFrame, shared: DataFrame) -> DataFrame:
+    """h, node, n, at of the first shingles that are in the table ``shared``, and of few others."""
+    bitmap = bitmap_of(shared)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             h, counts = batch.column(2).flatten().to_numpy(), pa.compute.list_value_length(batch.column(2)).to_numpy()
-            kept = np.flatnonzero(bitmap[(h >> 6) & (MEETING_WORDS - 1)] >> (h & 63) & 1)
+            kept = np.flatnonzero(hits(bitmap, h))
             row = np.repeat(np.arange(len(counts)), counts)[kept]
             at = kept - (np.cumsum(counts) - counts)[row]
             yield pa.RecordBatch.from_arrays(
@@ -282,12 +293,19 @@ NEAR = "9 * shared >= 4 * (n + m)"
 TAU = 0.2 + 1e-9
 
 
-def region_pairs(rows: DataFrame) -> DataFrame:
-    """a < b of different labels that can have their first common shingle here: what follows it in both sets has to suffice."""
+def region_pairs(rows: DataFrame, heads: DataFrame) -> DataFrame:
+    """a < b of different labels that can be near and have their first common shingle here: what follows it in both sets
+    has to suffice, and their signatures must not rule it out. The signatures go with the sets into the region, so that
+    pairs they rule out are never rows.
+    """
+    marks = heads.select("node", "signature").join(rows.select("node"), "node", "left_semi").dropDuplicates(["node"])
     reach = F.expr("5 * n - 9 * at")      # 4 times the largest size of a near set
-    x = rows.select("h", F.col("node").alias("a"), F.col("n").alias("x_n"), reach.alias("x_reach"), F.col("label").alias("x_label"))
-    y = rows.select("h", F.col("node").alias("b"), F.col("n").alias("y_n"), reach.alias("y_reach"), F.col("label").alias("y_label"))
-    return x.join(y, "h").filter("a < b and x_label <> y_label and 4 * y_n <= x_reach and 4 * x_n <= y_reach").select("a", "b").distinct()
+    marked = rows.select("h", "node", "n", reach.alias("reach"), "label").join(marks, "node")
+    x = marked.select("h", F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("reach").alias("x_reach"), F.col("label").alias("x_label"), F.col("signature").alias("x"))
+    y = marked.select("h", F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("reach").alias("y_reach"), F.col("label").alias("y_label"), F.col("signature").alias("y"))
+    apart = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SIGNATURE // 64))
+    fits = f"a < b and x_label <> y_label and 4 * y_n <= x_reach and 4 * x_n <= y_reach and 9 * ({apart}) <= x_n + y_n"
+    return x.join(y, "h").filter(fits).select("a", "b").distinct()
 
 
 def with_labels(rows: DataFrame, linked: DataFrame) -> DataFrame:
@@ -296,16 +314,6 @@ def with_labels(rows: DataFrame, linked: DataFrame) -> DataFrame:
     return named.withColumn("label", F.coalesce("label", "node"))
 
 
-def possible(pairs: DataFrame, heads: DataFrame) -> DataFrame:
-    """The pairs a, b whose signatures do not rule out that the sets are near."""
-    asked = heads.join(pairs.select(F.explode(F.array("a", "b")).alias("node")), "node", "left_semi")
-    marks = persist_table(asked.select("node", "n", "signature").dropDuplicates(["node"]), "signatures")
-    left = marks.select(F.col("node").alias("a"), F.col("n").alias("x_n"), F.col("signature").alias("x"))
-    right = marks.select(F.col("node").alias("b"), F.col("n").alias("y_n"), F.col("signature").alias("y"))
-    apart = " + ".join(f"bit_count(x[{k}] ^ y[{k}])" for k in range(SIGNATURE // 64))
-    return pairs.join(left, "a").join(right, "b").filter(f"9 * ({apart}) <= x_n + y_n").select("a", "b")
-
-
 def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | None, DataFrame | None, DataFrame | None]:
     """Edges found around pivots, the rows of regions that have become small, and those still large after ``ROUNDS`` pivots."""
     active = persist_table(rows.select("h", "node", "n", "at").withColumns({"label": F.col("node"), "outside": F.lit(True)}), "large-regions")
@@ -353,8 +361,7 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     heads = persist_table(postings(docs, frequent_shingles(first_shingles(docs, key, text)), key, text), "heads")
     regions = persist_table(shared_regions(heads), "sized-regions")
     small, large = regions.filter(F.col("size") <= LEAF), regions.filter(F.col("size") > LEAF)
-    pairs = persist_table(region_pairs(small.withColumn("label", F.col("node"))), "pairs-met")
-    pairs = persist_table(possible(pairs, heads), "pairs")
+    pairs = persist_table(region_pairs(small.withColumn("label", F.col("node")), heads), "pairs-met")
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).union(large.select("node")).distinct()
     owners = prints.filter("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("owner"))
     sets = persist_table(sets_for(docs, nodes, owners, key, text), "sets")
@@ -364,13 +371,12 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     if left is not None:
         # what links already connect, in whatever region, need not be compared again
         linked = persist_table(linked, "linked")
-        met = region_pairs(with_labels(left, linked))
+        met = region_pairs(with_labels(left, linked), heads)
         if still is not None:
             rest = sets.join(still.select("node").distinct(), "node", "left_semi")
             anew = persist_table(divided_anew(rest), "heads-anew")
-            met = met.union(region_pairs(with_labels(shared_regions(anew), linked)))
+            met = met.union(region_pairs(with_labels(shared_regions(anew), linked), anew)).distinct()
         more = persist_table(met, "pairs-left-met")
-        more = persist_table(possible(more, heads).distinct(), "pairs-left")
         found = distances(more, sets).filter(NEAR).select("a", "b")
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
     return prints, owners.join(linked, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -405,6 +411,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = persist_table(rows.join(staying, stays, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone")).distinct(), "gone")
     repeated = persist_table(rows.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("node").alias("_twice")), "repeated")
 
+
     names = [f"_d_{c}" for c in docs.columns]
     place = docs.columns.index(text)
     schema = ", ".join([*[f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)], "_node bigint"])
