@@ -411,21 +411,31 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     gone = persist_table(rows.join(staying, stays, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone")).distinct(), "gone")
     repeated = persist_table(rows.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("node").alias("_twice")), "repeated")
 
-
+    # few documents share an id with one that goes or is there twice: only these are read for their sets and joined
+    asked = gone.select(F.xxhash64("_gone_id").alias("h")).union(repeated.select(F.xxhash64("_twice_id").alias("h")))
+    bitmap = bitmap_of(asked)
     names = [f"_d_{c}" for c in docs.columns]
     place = docs.columns.index(text)
-    schema = ", ".join([*[f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True)], "_node bigint"])
+    plain = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))
+    hashed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in zip(docs.columns, names, strict=True)], F.xxhash64(F.col(f"`{key}`").cast("bigint")).alias("_id_hash"))
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rest = batch.filter(pa.array(~hits(bitmap, batch.column(len(names)).to_numpy())))
+            yield pa.RecordBatch.from_arrays(rest.columns[:-1], names=names)
 
     def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [s for run in slices(batch.column(place).cast(pa.binary())) for s in sets_of(run)]
+            rest = batch.filter(pa.array(hits(bitmap, batch.column(len(names)).to_numpy())))
+            found = [s for run in slices(rest.column(place).cast(pa.binary())) for s in sets_of(run)]
             nodes = pa.array([fingerprint(s) if len(s) else None for s in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, nodes], names=[*names, "_node"])
+            yield pa.RecordBatch.from_arrays([*rest.columns[:-1], nodes], names=[*names, "_node"])
 
-    marked = docs.mapInArrow(step, schema)
+    marked = hashed.mapInArrow(step, f"{plain}, _node bigint")
     kept = marked.join(gone, F.col(f"_d_{key}").cast("bigint").eqNullSafe(F.col("_gone_id")) & (F.col("_node") == F.col("_gone")), "left_anti")
     if not repeated.isEmpty():
         same = F.col(f"_d_{key}").cast("bigint").eqNullSafe(F.col("_twice_id")) & (F.col("_node") == F.col("_twice"))
         once = kept.join(repeated, same, "left_semi").dropDuplicates([f"_d_{key}", "_node"])
         kept = kept.join(repeated, same, "left_anti").union(once)
+    kept = kept.drop("_node").union(hashed.mapInArrow(others, plain))
     return kept.select(*[F.col(n).alias(c) for c, n in zip(docs.columns, names, strict=True)])

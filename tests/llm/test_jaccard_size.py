@@ -1,5 +1,7 @@
 """What the Jaccard join writes and moves."""
 
+from collections import Counter
+
 from helioframe.llm import jaccard
 
 
@@ -23,3 +25,13 @@ def test_pairs_that_signatures_rule_out_are_not_written(spark, monkeypatch):
     got = jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)).collect()
     assert {(r.doc_id, r.component_id) for r in got} == {(k, 0 if k > 23 else k) for k in range(26)}
     assert met["sized-regions"] > 50 and met["pairs-met"] == 3
+
+
+def test_documents_that_surely_stay_are_not_shuffled(spark):
+    rows = passage_pages(40)
+    rows = [*rows, rows[3], rows[3], (None, rows[4][1]), (None, None), (7, ""), (7, "")]
+    kept = jaccard.one_of_each(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    assert Counter(r.doc_id for r in kept.collect()) == Counter([*range(40), 7, 7, None])
+    _, mark, passed = kept._jdf.queryExecution().optimizedPlan().toString().partition("others(")
+    assert mark and "Join" not in passed and "others(" not in passed
+    assert "Union" in kept._jdf.queryExecution().optimizedPlan().toString()
