@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helioframe.session import persist_table
+from helioframe.session import merged, persist_table
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -20,10 +20,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         both = ours.union(ours.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(merged(low), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = persist_table(large, "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        rest = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        rest = large.join(merged(least), "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         ours = persist_table(rest.union(least).filter("u <> v").distinct(), "small-star")
         # done when only stars are left: no node has two edges down, none has edges both ways
         ends = ours.select(F.col("u").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")).union(ours.select("v", F.lit(0), F.lit(1)))

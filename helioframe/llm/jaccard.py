@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from helioframe.llm.components import components
 from helioframe.llm.text import MULTIPLIERS, Texts, mix, ready, slices
-from helioframe.session import persist_table
+from helioframe.session import merged, persist_table
 
 SHINGLE = 5
 FREQUENT = 32              # sets that share a shingle from which it counts as frequent
@@ -248,8 +248,7 @@ def shared_regions(heads: DataFrame) -> DataFrame:
     alike = kept.groupBy("h").agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"),
         F.sum("at").alias("place")).filter("size > 1")
-    first = alike.groupBy("size", "x", "y").agg(F.min("place").alias("place"))
-    one = alike.join(first, ["size", "x", "y", "place"]).select("h", "size")
+    one = alike.groupBy("size", "x", "y").agg(F.min_by("h", F.struct("place", "h")).alias("h")).select("h", "size")
     return kept.join(one, "h")
 
 
@@ -274,7 +273,7 @@ def sets_for(docs: DataFrame, needed: DataFrame, owners: DataFrame, key: str, te
 
 def distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Adds ``shared``, n and m to pairs a, b: shingles in common and the sizes. Only sets that are asked for move."""
-    left = sets.join(pairs.select(F.col("a").alias("node")), "node", "left_semi").select(F.col("node").alias("a"), "n", F.col("shingles").alias("left"))
+    left = sets.select(F.col("node").alias("a"), "n", F.col("shingles").alias("left"))
     right = sets.join(pairs.select(F.col("b").alias("node")), "node", "left_semi").select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("shingles").alias("right"))
     rows = pairs.select("a", "b").join(left, "a").join(right, "b").select("a", "b", "n", "m", "left", "right")
 
@@ -321,18 +320,19 @@ def join_large_regions(rows: DataFrame, sets: DataFrame) -> tuple[DataFrame | No
     small: DataFrame | None = None
     turn = 0
     while True:
-        sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
         if turn:
-            part = active.join(sizes.filter(F.col("size") <= LEAF), "h", "left_semi").select("h", "node", "n", "at", "label")
+            sizes = active.groupBy("h").agg(F.count(F.lit(1)).alias("size"))
+            sized = persist_table(active.join(merged(sizes), "h"), "left-regions")
+            part = sized.filter(F.col("size") <= LEAF).select("h", "node", "n", "at", "label")
             small = part if small is None else small.union(part)
-            active = persist_table(active.join(sizes.filter(F.col("size") > LEAF), "h", "left_semi"), "large-regions")
+            active = sized.filter(F.col("size") > LEAF).drop("size")
         if active.isEmpty():
             return edges, small, None
         if turn == ROUNDS:
             return edges, small, active
         turn += 1
-        pivots = persist_table(active.filter("outside").groupBy("h").agg(F.min_by("node", F.struct("at", "node")).alias("pivot")), "pivots")
-        met = active.join(pivots, "h").filter("node <> pivot")
+        pivots = active.filter("outside").groupBy("h").agg(F.min_by("node", F.struct("at", "node")).alias("pivot"))
+        met = persist_table(active.drop("outside").join(merged(pivots), "h").filter("node <> pivot"), "pivoted-regions")
         pairs = persist_table(met.select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct(), "pairs")
         measured = persist_table(distances(pairs, sets), "distances")
         found = measured.filter(NEAR).select("a", "b")
@@ -371,11 +371,12 @@ def classes(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]
     if left is not None:
         # what links already connect, in whatever region, need not be compared again
         linked = persist_table(linked, "linked")
-        met = region_pairs(with_labels(left, linked), heads)
+        met = region_pairs(persist_table(with_labels(left, linked), "small-regions"), heads)
         if still is not None:
             rest = sets.join(still.select("node").distinct(), "node", "left_semi")
             anew = persist_table(divided_anew(rest), "heads-anew")
-            met = met.union(region_pairs(with_labels(shared_regions(anew), linked), anew)).distinct()
+            again = persist_table(with_labels(shared_regions(anew), linked), "regions-anew")
+            met = met.union(region_pairs(again, anew)).distinct()
         more = persist_table(met, "pairs-left-met")
         found = distances(more, sets).filter(NEAR).select("a", "b")
         linked = components(linked.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
@@ -406,14 +407,15 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     own = persist_table(own, "classes")
     chosen = own.groupBy("label").agg(F.min(F.struct(F.col("owner").isNull().alias("last"), "owner", "node"))["node"].alias("chosen"))
     staying = own.join(chosen, F.col("node") == F.col("chosen"), "left_semi").select(F.col("node").alias("_node"), "owner")
-    rows = prints.filter("n_shingles > 0")
+    rows = prints.filter("n_shingles > 0").groupBy("doc_id", "node").count()
     stays = (F.col("node") == F.col("_node")) & F.col("doc_id").eqNullSafe(F.col("owner"))
-    gone = persist_table(rows.join(staying, stays, "left_anti").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone")).distinct(), "gone")
-    repeated = persist_table(rows.groupBy("doc_id", "node").count().filter("count > 1").select(F.col("doc_id").alias("_twice_id"), F.col("node").alias("_twice")), "repeated")
+    asked = rows.join(staying, stays, "left").withColumn("goes", F.col("_node").isNull()).filter("goes or count > 1")
+    asked = persist_table(asked.select("doc_id", "node", "goes"), "gone-or-repeated")
+    gone = asked.filter("goes").select(F.col("doc_id").alias("_gone_id"), F.col("node").alias("_gone"))
+    repeated = asked.filter("not goes").select(F.col("doc_id").alias("_twice_id"), F.col("node").alias("_twice"))
 
     # few documents share an id with one that goes or is there twice: only these are read for their sets and joined
-    asked = gone.select(F.xxhash64("_gone_id").alias("h")).union(repeated.select(F.xxhash64("_twice_id").alias("h")))
-    bitmap = bitmap_of(asked)
+    bitmap = bitmap_of(asked.select(F.xxhash64("doc_id").alias("h")))
     names = [f"_d_{c}" for c in docs.columns]
     place = docs.columns.index(text)
     plain = ", ".join(f"`{n}` {f.dataType.simpleString()}" for n, f in zip(names, docs.schema.fields, strict=True))

@@ -62,3 +62,12 @@ def persist_table(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(spark, label)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def merged(df: DataFrame) -> DataFrame:
+    """``df`` for a join that sorts and merges, however small it is.
+
+    A broadcast goes through the driver and stays in its memory until garbage collection finds it unused. This is for joins of
+    short rows that are repeated in many steps; a sort takes memory of the executors instead.
+    """
+    return df.hint("merge")
